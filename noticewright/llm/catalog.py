@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, packing, topk, warc
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": exact_dedup.op1_exact_dedup, "op9_mixing": mixing.op9_mixing}
+    return {
+        "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op4_exact_topk": topk.op4_exact_topk,
+        "op6_warc": warc.op6_warc,
+        "op8_packing": packing.op8_packing,
+        "op9_mixing": mixing.op9_mixing,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op1_exact_dedup": exact_dedup.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op4_exact_topk": topk.SQL, "op6_warc": warc.SQL}
