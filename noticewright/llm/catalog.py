@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, topk, warc
+from . import exact_dedup, mixing, packing, topk, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_exact_topk": topk.op4_exact_topk,
         "op6_warc": warc.op6_warc,
         "op8_packing": packing.op8_packing,
