@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, topk, toxicity, warc
+from . import exact_dedup, html_extract, mixing, packing, topk, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_exact_topk": topk.op4_exact_topk,
         "op6_warc": warc.op6_warc,
+        "op10_html": html_extract.op10_html,
         "op8_packing": packing.op8_packing,
         "op9_mixing": mixing.op9_mixing,
     }
