@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, mixing, packing, topk, toxicity, warc
+from . import exact_dedup, html_extract, line_dedup, mixing, near_dedup, packing, topk, toxicity, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op4_exact_topk": topk.op4_exact_topk,
         "op6_warc": warc.op6_warc,
         "op10_html": html_extract.op10_html,
+        "op5_line_dedup": line_dedup.op5_line_dedup,
+        "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_packing": packing.op8_packing,
         "op9_mixing": mixing.op9_mixing,
     }
