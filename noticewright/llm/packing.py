@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,45 +21,82 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, table, written
+from .common import table, written
 
 CAPACITY = 2048
 END_ID = 0
 #: Steps of the multiplicative weights, and how far a step may move them.
 STEPS, STEP = 400, 0.5
-#: Words whose ids a task remembers.
-REMEMBERED = 300_000
+#: Parts of texts whose ids a Python worker remembers (some 150 bytes each).
+REMEMBERED = 1_000_000
 #: Pieces that are numbered together.
-RANKED = 512
+RANKED = 256
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: How the tokenizer splits lower-cased text without white space, for Latin-1.
+_LETTER, _NUMBER = "a-zªµºà-öø-ÿß", "0-9²³¹¼½¾"
+_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\t-\r \x85\xa0{_LETTER}{_NUMBER}]+")
+_CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
+#: What the tokenizer is asked once, kept while the Python worker lives.
+_KNOWN: dict[str, dict[str, bytes]] = {}
+
+
 class _Ids:
     """Token ids of texts as little-endian 32-bit words.
 
-    The tokenizer's pieces never span white space, so a text's ids are those of its words in turn;
-    each distinct word is tokenized once.
+    A text's ids are those of its parts in turn, and each distinct part is tokenized once. Parts are
+    what the tokenizer itself splits a Latin-1 text into, and words between white space of other
+    texts and of those that may hold a special token: no part of its ids spans white space.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
-        self.spaces = str.maketrans(dict.fromkeys(SPACES, " "))
-
-    def __call__(self, text: str | None) -> bytes:
-        words = (text or "").translate(self.spaces).split(" ")
+        self.tokenizer, self.known = Tokenizer.from_file(path), _KNOWN.setdefault(path, {})
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def parts(self, text: str) -> list[str]:
+        if "<|" not in text:
+            if text.isascii():
+                return _SPLIT.findall(text.lower())
+            try:
+                text.encode("latin-1")
+                return _SPLIT.findall(text.lower())
+            except UnicodeEncodeError:
+                pass
+        return _CHUNK.findall(text)
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Ask for all parts not yet known, many in one call: parts that the tokenizer wouldn't
+        split again are joined by spaces, and each one's ids end where a word end is."""
         known = self.known
-        if new := list({w for w in words if w not in known}):
-            if len(known) > REMEMBERED:
-                self.known = known = {"": b""}
-                new = list(set(words) - {""})
-            for at in range(0, len(new), 10_000):
-                some = new[at : at + 10_000]
-                known.update((w, np.asarray(e.ids, dtype="<u4").tobytes()) for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True))
-        return b"".join(map(known.__getitem__, words))
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = list({p for parts in texts for p in parts if p not in known})
+        plain = [p for p in new if _SPLIT.fullmatch(p)]
+        asked = [plain[at : at + 200] for at in range(0, len(plain), 200)]
+        for some, e in zip(asked, self.tokenizer.encode_batch_fast([" ".join(x) for x in asked], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, dtype="<u4")
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) == len(some):
+                data, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+                known.update((p, data[a:b]) for p, a, b in zip(some, bounds, bounds[1:], strict=False))
+        rest = [p for p in new if p not in known]
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[p] = np.asarray(e.ids, dtype="<u4").tobytes()
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        out = []
+        for at in range(0, len(texts), 256):
+            parts = [self.parts(t or "") for t in texts[at : at + 256]]
+            self.learn(parts)
+            out += [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        return out
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -68,8 +106,8 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         ids, end = _Ids(tokenizer), np.asarray([end_id], dtype="<u4").tobytes()
         for frame in frames:
             rows = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-                data = ids(None if text is None or text is pd.NA else text) + end
+            texts = [None if t is None or t is pd.NA else t for t in frame["text"]]
+            for doc_id, data in zip(frame["doc_id"], (x + end for x in ids(texts)), strict=True):
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
