@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, table, written
+from .common import table, written
 
 #: n-gram lengths, in characters, and the hashed feature space.
 GRAMS = (3, 4, 5, 6)
@@ -25,6 +25,8 @@ FEATURES, LEAST_TEXTS = 1 << 14, 5
 #: Bound of the sample that the regression is fitted on, for each label; counts cover all rows.
 SAMPLE_PER_LABEL = 10_000
 THRESHOLD = 0.7
+#: Labels (some 20 bytes each) that may be broadcast to the documents; more are joined by a shuffle.
+BROADCAST_LABELS = 1_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TURN = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -56,9 +58,11 @@ def _texts(frames: Iterator[pd.DataFrame]):
 def log_count_ratios(labelled: DataFrame, features: int = FEATURES, least: int = LEAST_TEXTS) -> pd.DataFrame:
     """feature, ratio: the ``features`` largest ratios. ``labelled``: text, label (0 or 1).
 
-    Each split counts its own n-grams, the counts are summed by feature, and the bounded table of
-    features is all that reaches the driver.
+    Each task counts the n-grams of several splits (a row per feature and task is shuffled, so fewer
+    tasks shuffle less), the counts are summed by feature, and the bounded table of features is all
+    that reaches the driver.
     """
+    spark = labelled.sparkSession
     totals = {int(r["label"]): r["count"] for r in labelled.groupBy("label").count().collect()}
 
     def count(frames):
@@ -74,7 +78,7 @@ def log_count_ratios(labelled: DataFrame, features: int = FEATURES, least: int =
     n0, n1 = totals.get(0, 0) + 2.0, totals.get(1, 0) + 2.0
     ratio = F.log((F.col("yes") + 1) / F.lit(n1)) - F.log((F.col("no") + 1) / F.lit(n0))
     return (
-        labelled.select("text", "label")
+        labelled.select("text", "label").coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
         .mapInPandas(count, "feature long, no long, yes long")
         .groupBy("feature").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
         .where(F.col("yes") + F.col("no") >= least)
@@ -109,12 +113,11 @@ def fit(labelled: DataFrame, sample_per_label: int = SAMPLE_PER_LABEL, rounds: i
         for f, texts in _texts(frames):
             yield pd.DataFrame({"label": f["label"], "at": [x.tolist() for x in _design(texts, index)]})
 
-    order = F.xxhash64("key")
-    sample = None
-    for label in (0, 1):
-        part = labelled.where(F.col("label") == label).select("text", "label", order.alias("_o"), "key").orderBy("_o", "key").limit(sample_per_label).select("text", "label")
-        sample = part if sample is None else sample.unionByName(part)
-    rows = sample.mapInPandas(features, "label int, at array<int>").toPandas()
+    keys = labelled.select("key", "label").distinct()
+    order = [F.xxhash64("key"), F.col("key")]
+    sample = keys.where("label = 0").orderBy(*order).limit(sample_per_label).unionByName(keys.where("label = 1").orderBy(*order).limit(sample_per_label))
+    # At most 2 x sample_per_label short rows.
+    rows = labelled.join(F.broadcast(sample), ["key", "label"], "left_semi").select("text", "label").mapInPandas(features, "label int, at array<int>").toPandas()
     y = rows["label"].to_numpy(dtype=float)
     if len(set(y)) < 2:
         return empty
@@ -163,12 +166,13 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **how) -> dict:
     """Fit on the rows of ``docs`` that have a 0/1 label and aren't held out.
 
-    A document that is labelled twice counts once per label; null labels and ids don't join. The
-    labelled rows are written once, since counts and sample both read them.
+    A document that is labelled twice counts once per label; null labels and ids don't join.
     """
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).distinct()
-    rows = docs.select(F.col(id_col).alias("key"), F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " ").alias("text")).where(~held_out(F.col("key")))
-    return fit(written(rows.join(known, F.col("key") == F.col("_id")).select("key", "text", "label"), "toxic-train"), **how)
+    known = written(known.where(~held_out(F.col("_id"))), "toxic-labels")
+    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
+    few = known.count() <= BROADCAST_LABELS
+    return fit(rows.join(F.broadcast(known) if few else known, F.col("key") == F.col("_id")).select("key", "text", "label"), **how)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
