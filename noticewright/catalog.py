@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from .operators import filters  # noqa: F401
+from .registry import ORACLES, QUERIES
+
 
 def flagship(spark, sf_dir: str):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+    return QUERIES["D14_keyword_search"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
