@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import aggregates, filters, joins  # noqa: F401
+from .operators import aggregates, filters, joins, scalars  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
