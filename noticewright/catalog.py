@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .sources import html, tables  # noqa: F401
 from .operators import aggregates, filters, joins, scalars  # noqa: F401
 from .registry import ORACLES, QUERIES
 
