@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .sources import html, tables  # noqa: F401
-from .operators import aggregates, filters, joins, scalars  # noqa: F401
+from .streaming import incremental  # noqa: F401
+from .operators import aggregates, classification, extraction, filters, joins, ranking, scalars  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
