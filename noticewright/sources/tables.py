@@ -36,11 +36,11 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; quotes are doubled and line breaks kept."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).option("lineSep", "\n").csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).option("lineSep", "\n").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).option("ignoreLeadingWhiteSpace", False).option("lineSep", "\n").csv(path)
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("lineSep", "\n").csv(path)
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
