@@ -30,7 +30,7 @@ _WORD = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*|<\.\.\.>")
 
 
 def blocks(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of runs of sentences with a cue; one sentence without may stand between two."""
+    """(start, end) of runs of sentences with a cue; two sentences without may stand between."""
     start = end = None
     gap = 0
     for m in _SENTENCE.finditer(text):
@@ -42,7 +42,7 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
             end, gap = m.start() + len(m[0].rstrip()), 0
         elif start is not None:
             gap += 1
-            if gap > 1:
+            if gap > 2:
                 yield start, end
                 start = None
     if start is not None:

@@ -39,4 +39,4 @@ TEMPLATES: list[tuple[str, str, str]] = [
 ]
 
 #: Words of licences: a sentence that holds none is no part of a candidate block.
-CUES = r"(?i)licen[cs]|copyright|all rights|spdx|permission|redistribut|public domain|warrant|liabilit|creative commons|free software|merchantab|mozilla public"
+CUES = r"(?i)licen[cs]|copyright|all rights|spdx|permission|redistribut|public domain|warrant|liabilit|creative commons|free software|merchantab|mozilla|anyone is free|\bMPL\b"

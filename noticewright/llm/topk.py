@@ -32,7 +32,8 @@ class _Best:
 
     def __init__(self, ids, keys, vecs, k):
         self.ids, self.keys, self.q, self.k = ids, keys, vecs, k
-        self.score = np.full((len(ids), k), -np.inf)
+        # 64 bits of precision: whole numbers of 64 bits are exact.
+        self.score = np.full((len(ids), k), -np.inf, dtype=np.longdouble)
         self.vec = np.full((len(ids), k), np.iinfo(np.int64).max)
 
     def floor(self):
@@ -42,7 +43,7 @@ class _Best:
         """Add scored pairs; ties go to the smaller id."""
         rows = np.unique(row)
         row = np.concatenate([row, np.repeat(rows, self.k)])
-        score = np.concatenate([score, self.score[rows].ravel()])
+        score = np.concatenate([score.astype(np.longdouble), self.score[rows].ravel()])
         vec = np.concatenate([vec, self.vec[rows].ravel()])
         order = np.lexsort((vec, -score, row))
         row, score, vec = row[order], score[order], vec[order]
@@ -69,14 +70,14 @@ def _search(best, ids, vecs, dims):
         for i, q in enumerate(best.q):
             score = whole @ np.array([int(x) for x in q], dtype=object)
             ok = ids != best.ids[i]
-            clipped = np.array([max(-(2**63), min(2**63 - 1, s)) for s in score[ok]], dtype=float)
+            clipped = np.array([max(-(2**63), min(2**63 - 1, s)) for s in score[ok]], dtype=np.longdouble)
             best.merge(np.full(ok.sum(), i), clipped, ids[ok])
         return
     tall, c_rest = np.ascontiguousarray(vecs.T), _norms(vecs, dims)
     for lo in range(0, len(best.ids), TOGETHER):
         rows = slice(lo, lo + TOGETHER)
         q, q_rest = best.q[rows], _norms(best.q[rows], dims)
-        floor = best.floor()[rows]
+        floor = best.floor()[rows].astype(float)
         live = np.arange(len(ids))
         score = np.zeros((len(q), len(live)))
         own = best.ids[rows][:, None] == ids[None, :]
@@ -119,7 +120,7 @@ def _work(k: int, scale: int, dims: int):
             if best is None:
                 return
             i, j = np.nonzero(best.score > -np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array(best.ids[i]), pa.array(best.keys[i]), pa.array(best.vec[i, j]), pa.array(np.clip(best.score[i, j], -(2.0**63), 2.0**63 - 1024).astype(np.int64))], names=["query_id", "query_key", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(best.ids[i]), pa.array(best.keys[i]), pa.array(best.vec[i, j]), pa.array(best.score[i, j].astype(np.int64))], names=["query_id", "query_key", "vec_id", "score"])
 
         for batch in batches:
             if not batch.num_rows:
