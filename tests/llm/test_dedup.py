@@ -117,12 +117,11 @@ def test_near_dedup(spark):
     assert near_dedup.near_dedup(frame(spark, [])).count() == 0
 
 
-def test_dense_region_is_cut(spark, monkeypatch):
+def test_dense_region_is_cut(spark):
     """Regions larger than their bound are cut deeper and lose no link of a chain of copies."""
-    monkeypatch.setattr(near_dedup, "REGION", 8)
     base = [f"v{i}" for i in range(80)]
     rows = [(i, " ".join(base[:-1] + [f"end{i}"])) for i in range(60)]
-    got = near_dedup.near_dedup(frame(spark, rows)).collect()
+    got = near_dedup.near_dedup(frame(spark, rows), region=8).collect()
     assert {r["component_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1
 
 
