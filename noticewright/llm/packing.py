@@ -28,7 +28,7 @@ END_ID = 0
 #: Steps of the multiplicative weights, and how far a step may move them.
 STEPS, STEP = 400, 0.5
 #: Parts of texts whose ids a Python worker remembers (some 150 bytes each).
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 #: Pieces that are numbered together.
 RANKED = 256
 
@@ -90,13 +90,12 @@ class _Ids:
         for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             known[p] = np.asarray(e.ids, dtype="<u4").tobytes()
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        out = []
+    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         for at in range(0, len(texts), 256):
             parts = [self.parts(t or "") for t in texts[at : at + 256]]
             self.learn(parts)
-            out += [b"".join(map(self.known.__getitem__, p)) for p in parts]
-        return out
+            for p in parts:
+                yield b"".join(map(self.known.__getitem__, p))
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
