@@ -7,8 +7,10 @@ is longer, level by level, so that the depth follows how dense the order is ther
 bits estimates which pairs of a region are worth a comparison. Links are confirmed on the full sets.
 
 The first round compares, in each region, the pairs of a maximum spanning forest (one per document
-and tree at most, however large a group of copies is). The second round goes through the regions
-again for pairs of different components, which the first round may have left out.
+and tree at most, however large a group of copies is). The rounds after it go through the regions
+again for pairs of different components: first a few of each document, then, among the documents of
+pairs that were left out, all likely pairs by falling estimate. Links join components between the
+rounds, so that only pairs still of different components are compared, but none of those is left.
 """
 
 from __future__ import annotations
@@ -33,8 +35,11 @@ TREES, DEPTH, LEAST, REGION = 24, 6, 3, 1024
 BITS, TWOS, LIKELY = 128, TREES * DEPTH, 0.625
 WORDS = BITS // 64 + -(-TWOS // 32)
 #: Where a document of the second round has more than 16 likely partners in a region: so many of the
-#: likeliest in each other component, in each of the trees.
+#: likeliest in each other component, in each of the trees. What this leaves out is for later rounds.
 FEW = 5
+#: Rounds after the first: the least estimate of their pairs, and the ``few`` of above if there is one.
+SURE = 0.715
+ROUNDS = [(LIKELY, FEW), (SURE, None), (LIKELY, None)]
 #: Candidate ids (8 bytes each) that may be broadcast to pick their texts; more are shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -131,29 +136,30 @@ def _forest(sketch: np.ndarray) -> list[tuple[int, int]]:
             pairs.append((int(via[here]), here))
 
 
-def _between(sketch: np.ndarray, comp: np.ndarray, few: int) -> list[tuple[int, int]]:
-    """Likely pairs of different components: for two components all their pairs, if that is not many
-    per document, else the likeliest ones of each document of the smaller (in this region)."""
-    names, comp = np.unique(comp, return_inverse=True)
-    if len(names) == 1:
-        return []
-    size, found = np.bincount(comp), []
-    for i in range(len(sketch)):
-        # A pair is met from its document in the smaller component, the later one of equal ones.
-        mine = comp[i]
-        j = np.flatnonzero((size[comp] > size[mine]) | ((size[comp] == size[mine]) & (comp < mine)))
+def _between(sketch: np.ndarray, comp: np.ndarray, size: np.ndarray, rows: np.ndarray, least: float, few: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Likely pairs (i, j) of different components, i from ``rows``, and the documents of pairs left
+    out. A pair is met from its document in the smaller component (``size``: of a document's component
+    in the region), the later one of equal ones."""
+    i_out, j_out, left = [], [], np.zeros(len(sketch), dtype=bool)
+    for i in rows:
+        j = np.flatnonzero((size > size[i]) | ((size == size[i]) & (comp < comp[i])))
         got = _alike(sketch, i, j)
         j, got = j[got >= LIKELY], got[got >= LIKELY]
-        if len(j) > 16:
+        now = got >= least
+        if few and len(j) > 16:
             order = np.lexsort((-got, comp[j]))
-            j = j[order]
-            place = np.arange(len(j)) - np.searchsorted(comp[j], comp[j])
-            j = j[place < few]
-        found += [(i, int(k)) for k in j]
-    return found
-
-
-def _pairs(again: bool, region: int = REGION, few: int = FEW):
+            j, now = j[order], now[order]
+            now &= np.arange(len(j)) - np.searchsorted(comp[j], comp[j]) < few
+        if not now.all():
+            left[i] = True
+            left[j[~now]] = True
+        i_out.append(np.full(now.sum(), i))
+        j_out.append(j[now])
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *i_out]), np.concatenate([none, *j_out]), np.flatnonzero(left)
+
+
+def _pairs(again: tuple[float, int | None] | None, region: int = REGION):
     def run(batches):
         """Rows come sorted by (tree, key, id). Whole regions are worked on; the last one of a batch
         waits for what follows."""
@@ -183,11 +189,14 @@ def _pairs(again: bool, region: int = REGION, few: int = FEW):
             b_out.append(ids[ok + 1])
             for k in np.flatnonzero(size > 2):
                 for lo, hi in _cut(lcp, int(bounds[k]), int(bounds[k + 1]), LEAST, region):
-                    found = _between(sketch[lo:hi], comp[lo:hi], few) if again else _forest(sketch[lo:hi])
-                    if found:
-                        i, j = np.array(found).T
-                        a_out.append(ids[lo + i])
-                        b_out.append(ids[lo + j])
+                    if again:
+                        _, at, counts = np.unique(comp[lo:hi], return_inverse=True, return_counts=True)
+                        i, j, left = _between(sketch[lo:hi], comp[lo:hi], counts[at], np.arange(hi - lo if len(counts) > 1 else 0), *again)
+                        i, j = np.append(i, left), np.append(j, left)  # (a, a): a is in a pair left out
+                    else:
+                        i, j = np.array(_forest(sketch[lo:hi]), dtype=np.int64).reshape(-1, 2).T
+                    a_out.append(ids[lo + i])
+                    b_out.append(ids[lo + j])
                 if again and size[k] > region:  # over the borders of the parts
                     i = np.arange(int(bounds[k]), int(bounds[k + 1]) - 1)
                     i = i[(comp[i] != comp[i + 1]) & (_alike(sketch, i, i + 1) >= LIKELY)]
@@ -213,8 +222,8 @@ def _with_end(batches):
     yield None
 
 
-def candidates(reps: DataFrame, again: bool = False, region: int = REGION) -> DataFrame:
-    """(a, b) with a < b. ``reps``: id, comp, sig, sketch. Ranges of the orders are dealt out by
+def candidates(reps: DataFrame, again: tuple[float, int | None] | None = None, region: int = REGION) -> DataFrame:
+    """(a, b) with a < b; in a round after the first also (a, a) for documents of pairs left out. ``reps``: id, comp, sig, sketch. Ranges of the orders are dealt out by
     signature and id, so that no region, however dense, has to fit in one task."""
     return (
         reps.select("id", "comp", "sig", "sketch").mapInArrow(_grow, ROW)
@@ -281,11 +290,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "near-reps",
     )
     pairs = written(candidates(reps.withColumn("comp", F.col("id")), region=region), "near-pairs")
-    links = written(confirm(pairs, base, least, size), "near-links")
-    stars = components(links)
-    second = reps.join(stars, reps["id"] == stars["u"], "left").select("id", F.coalesce("v", "id").alias("comp"), "sig", "sketch")
-    more = written(candidates(second, again=True, region=region).join(pairs, ["a", "b"], "left_anti"), "near-more")
-    stars = components(stars.unionByName(confirm(more, base, least, size)))
+    stars, open_, tested = components(written(confirm(pairs, base, least, size), "near-links")), reps, pairs
+    for again in ROUNDS:
+        now = open_.join(stars, open_["id"] == stars["u"], "left").select("id", F.coalesce("v", "id").alias("comp"), "sig", "sketch")
+        found = written(candidates(now, again, region), "near-found")
+        more = written(found.where("a < b").join(tested, ["a", "b"], "left_anti"), "near-more")
+        stars = components(stars.unionByName(confirm(more, base, least, size)))
+        left = found.where("a = b").select(F.col("a").alias("id"))
+        if left.isEmpty():
+            break
+        open_, tested = reps.join(left, "id", "left_semi"), tested.unionByName(more)
     named = described.select("doc_id", "n_shingles", "h1", "h2").join(reps.select("h1", "h2", "n_shingles", "id"), ["h1", "h2", "n_shingles"], "left").join(stars, F.col("id") == F.col("u"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("v", "id", "doc_id"))
     return named.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -136,3 +136,28 @@ def test_shingle_hashes():
     assert list(word_hashes("ABC é")) == list(word_hashes("abc é")) and list(word_hashes("É")) != list(word_hashes("é"))
     assert len(shingles("a b c d e f")) == 2 and len(shingles("a b")) == 1 and len(shingles(None)) == 0
     assert len(shingles(" ".join(["x"] * 500))) == 1
+
+
+def one_link_family(seed, n=100):
+    """Sets of 300 words: X, and a family whose members are all alike (0.79) but for one about 0.70 like X."""
+    rng = random.Random(seed)
+    core = [f"c{i}" for i in range(300)]
+    off = rng.sample(core, 37)
+    rows = [[w for w in core if w not in off] + [f"x{i}" for i in range(37)]]
+    inside = [w for w in core if w not in off]
+    for k in range(n):
+        lost = set(rng.sample(off, 13) + rng.sample(inside, 5)) if k == 0 else set(rng.sample(core, 18))
+        rows.append([w for w in core if w not in lost] + [f"f{k}_{i}" for i in range(18)])
+    return rows
+
+
+def alike(x, y):
+    return len(set(x) & set(y)) / len(set(x) | set(y))
+
+
+def test_near_dedup_tests_every_likely_pair(spark):
+    """The only true link of X has an estimate below those of many other partners."""
+    rows = one_link_family(0)
+    assert [k for k in range(1, 101) if alike(rows[0], rows[k]) >= 0.75] == [1]
+    got = near_dedup.near_dedup(frame(spark, [(k, " ".join(r)) for k, r in enumerate(rows)]), size=1).collect()
+    assert {r["component_id"] for r in got} == {0}
