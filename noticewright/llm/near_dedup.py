@@ -6,10 +6,11 @@ are a region of the order; a region of more than ``REGION`` documents is cut whe
 is longer, level by level, so that the depth follows how dense the order is there. A sketch of 416
 bits estimates which pairs of a region are worth a comparison. Links are confirmed on the full sets.
 
-The first round compares, in each region, the pairs of a maximum spanning forest (one per document
-and tree at most, however large a group of copies is). The rounds after it go through the regions
-again for pairs of different components: first a few of each document, then, among the documents of
-pairs that were left out, all likely pairs by falling estimate. Links join components between the
+The first round compares the pairs of a maximum spanning forest of each such part (one per document
+and tree at most, however large a group of copies is). The rounds after it go through whole regions
+of the first ``LEAST`` values, however large, for pairs of different components: first a few of each
+document, then, among the documents of pairs that were left out, all likely pairs by falling estimate.
+A large region is dealt out as cells, blocks of documents against blocks of documents. Links join components between the
 rounds, so that only pairs still of different components are compared, but none of those is left.
 """
 
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -49,6 +50,7 @@ _B = _RNG.integers(0, 1 << 63, TREES * DEPTH + BITS, dtype=np.uint64)
 
 BASE = "doc_id long, n_shingles long, h1 long, h2 long, sig binary, sketch binary"
 ROW = "tree int, key binary, id long, comp long, sketch binary"
+CELL = ["region", "row", "col"]
 
 
 def minhash(found: np.ndarray) -> np.ndarray:
@@ -136,13 +138,13 @@ def _forest(sketch: np.ndarray) -> list[tuple[int, int]]:
             pairs.append((int(via[here]), here))
 
 
-def _between(sketch: np.ndarray, comp: np.ndarray, size: np.ndarray, rows: np.ndarray, least: float, few: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Likely pairs (i, j) of different components, i from ``rows``, and the documents of pairs left
-    out. A pair is met from its document in the smaller component (``size``: of a document's component
-    in the region), the later one of equal ones."""
+def _between(sketch: np.ndarray, comp: np.ndarray, size: np.ndarray, rows: np.ndarray, cols: np.ndarray, least: float, few: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Likely pairs (i, j) of different components, i from ``rows``, j from ``cols``, and the documents
+    of pairs left out. A pair is met from its document in the smaller component (``size``: of a
+    document's component in the region), the later one of equal ones."""
     i_out, j_out, left = [], [], np.zeros(len(sketch), dtype=bool)
     for i in rows:
-        j = np.flatnonzero((size > size[i]) | ((size == size[i]) & (comp < comp[i])))
+        j = cols[(size[cols] > size[i]) | ((size[cols] == size[i]) & (comp[cols] < comp[i]))]
         got = _alike(sketch, i, j)
         j, got = j[got >= LIKELY], got[got >= LIKELY]
         now = got >= least
@@ -159,7 +161,7 @@ def _between(sketch: np.ndarray, comp: np.ndarray, size: np.ndarray, rows: np.nd
     return np.concatenate([none, *i_out]), np.concatenate([none, *j_out]), np.flatnonzero(left)
 
 
-def _pairs(again: tuple[float, int | None] | None, region: int = REGION):
+def _pairs(region: int = REGION):
     def run(batches):
         """Rows come sorted by (tree, key, id). Whole regions are worked on; the last one of a batch
         waits for what follows."""
@@ -168,7 +170,7 @@ def _pairs(again: tuple[float, int | None] | None, region: int = REGION):
             rows = held if table_ is None else table_ if held is None else tuple(np.concatenate(x) for x in zip(held, table_, strict=True))
             if rows is None:
                 continue
-            tree, key, ids, comp, sketch = rows
+            tree, key, ids, sketch = rows
             n = len(ids)
             same = np.zeros((n, DEPTH), dtype=bool)
             same[1:] = (key[1:] == key[:-1]) & (tree[1:] == tree[:-1])[:, None]
@@ -184,24 +186,14 @@ def _pairs(again: tuple[float, int | None] | None, region: int = REGION):
             size = np.diff(bounds)
             a_out, b_out = [], []
             two = bounds[:-1][size == 2]
-            ok = two[(_alike(sketch, two, two + 1) >= LIKELY) & (comp[two] != comp[two + 1])]
+            ok = two[_alike(sketch, two, two + 1) >= LIKELY]
             a_out.append(ids[ok])
             b_out.append(ids[ok + 1])
             for k in np.flatnonzero(size > 2):
                 for lo, hi in _cut(lcp, int(bounds[k]), int(bounds[k + 1]), LEAST, region):
-                    if again:
-                        _, at, counts = np.unique(comp[lo:hi], return_inverse=True, return_counts=True)
-                        i, j, left = _between(sketch[lo:hi], comp[lo:hi], counts[at], np.arange(hi - lo if len(counts) > 1 else 0), *again)
-                        i, j = np.append(i, left), np.append(j, left)  # (a, a): a is in a pair left out
-                    else:
-                        i, j = np.array(_forest(sketch[lo:hi]), dtype=np.int64).reshape(-1, 2).T
+                    i, j = np.array(_forest(sketch[lo:hi]), dtype=np.int64).reshape(-1, 2).T
                     a_out.append(ids[lo + i])
                     b_out.append(ids[lo + j])
-                if again and size[k] > region:  # over the borders of the parts
-                    i = np.arange(int(bounds[k]), int(bounds[k + 1]) - 1)
-                    i = i[(comp[i] != comp[i + 1]) & (_alike(sketch, i, i + 1) >= LIKELY)]
-                    a_out.append(ids[i])
-                    b_out.append(ids[i + 1])
             a, b = np.concatenate(a_out), np.concatenate(b_out)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -209,6 +201,40 @@ def _pairs(again: tuple[float, int | None] | None, region: int = REGION):
     return run
 
 
+def _cells(least: float, few: int | None):
+    def run(batches):
+        """Rows come sorted by cell, which is worked on when its last row is there."""
+        held: list[pa.Table] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            keys = np.stack([t.column(c).to_numpy() for c in CELL])
+            new = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            if held and any(held[0].column(c)[0] != t.column(c)[0] for c in CELL):
+                yield from _cell(held, least, few)
+                held = []
+            at = 0
+            for end in new.tolist():
+                yield from _cell([*held, t.slice(at, end - at)], least, few)
+                held, at = [], end
+            held.append(t.slice(at))
+        if held:
+            yield from _cell(held, least, few)
+
+    return run
+
+
+def _cell(parts: list[pa.Table], least: float, few: int | None) -> Iterator[pa.RecordBatch]:
+    t = pa.concat_tables(parts)
+    ids, comp, size, of_row, of_col = (t.column(c).to_numpy() for c in ("id", "comp", "size", "of_row", "of_col"))
+    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint64).reshape(-1, WORDS)
+    i, j, left = _between(sketch, comp, size, np.flatnonzero(of_row), np.flatnonzero(of_col), least, few)
+    i, j = np.append(i, left), np.append(j, left)  # (a, a): a is in a pair left out
+    if len(i):
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], names=["a", "b"])
+
+
 def _with_end(batches):
     for b in batches:
         if n := b.num_rows:
@@ -216,20 +242,49 @@ def _with_end(batches):
                 b.column("tree").to_numpy(),
                 np.frombuffer(b"".join(b.column("key").to_pylist()), dtype=">u4").reshape(n, DEPTH),
                 b.column("id").to_numpy(),
-                b.column("comp").to_numpy(),
                 np.frombuffer(b"".join(b.column("sketch").to_pylist()), dtype=np.uint64).reshape(n, WORDS),
             )
     yield None
 
 
-def candidates(reps: DataFrame, again: tuple[float, int | None] | None = None, region: int = REGION) -> DataFrame:
-    """(a, b) with a < b; in a round after the first also (a, a) for documents of pairs left out. ``reps``: id, comp, sig, sketch. Ranges of the orders are dealt out by
-    signature and id, so that no region, however dense, has to fit in one task."""
+def candidates(reps: DataFrame, region: int = REGION) -> DataFrame:
+    """(a, b) with a < b of the first round. ``reps``: id, comp, sig, sketch. Ranges of the orders are
+    dealt out by signature and id, so that no region, however dense, has to fit in one task."""
     return (
         reps.select("id", "comp", "sig", "sketch").mapInArrow(_grow, ROW)
+        .select("tree", "key", "id", "sketch")
         .repartitionByRange("tree", "key", "id")
         .sortWithinPartitions("tree", "key", "id")
-        .mapInArrow(_pairs(again, region), "a long, b long")
+        .mapInArrow(_pairs(region), "a long, b long")
+        .distinct()
+    )
+
+
+def between(reps: DataFrame, least: float, few: int | None, region: int = REGION) -> DataFrame:
+    """(a, b) with a < b of a later round, and (a, a) for documents of pairs left out.
+
+    Every pair of different components of a region meets in one cell. The largest component of a
+    region has no rows of its own in it, so that cells grow with the documents outside it.
+    """
+    key = F.xxhash64("tree", F.substring("key", 1, 4 * LEAST))
+    grown = reps.select("id", "comp", "sig", F.lit(b"").alias("sketch")).mapInArrow(_grow, ROW).select(key.alias("region"), "id", "comp").repartition("region")
+    whole, part = Window.partitionBy("region"), Window.partitionBy("region", "comp")
+    mixed_ = grown.withColumns({"lo": F.min("comp").over(whole), "hi": F.max("comp").over(whole), "n": F.count("*").over(whole)}).where("lo < hi").drop("lo", "hi")
+    sized = mixed_.withColumn("size", F.count("*").over(part))
+    # The largest component, the smallest id of equal ones.
+    sized = sized.withColumn("top", F.max(F.struct("size", -F.col("comp"))).over(whole)).withColumn("outside", F.col("comp") != -F.col("top")["col2"])
+    sized = sized.withColumns({"rows": F.ceil((F.col("n") - F.col("top")["size"]) / region), "cols": F.ceil(F.col("n") / region)}).drop("top")
+    small, hashed = F.col("n") <= region, F.xxhash64("id")
+    cell = lambda row, col, of_row, of_col: F.struct(row.cast("long").alias("row"), col.cast("long").alias("col"), of_row.alias("of_row"), of_col.alias("of_col"))
+    mine_row, mine_col = F.pmod(hashed, F.col("rows")), F.pmod(hashed, F.col("cols"))
+    one, yes, no = F.array(cell(F.lit(0), F.lit(0), F.col("outside"), F.lit(True))), F.lit(True), F.lit(False)
+    # Where a document is of the row and the column of one cell, it stands there once.
+    as_col = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1), lambda r: cell(r, mine_col, F.col("outside") & (r == mine_row), yes))
+    as_row = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1), lambda c: F.col("outside") & (c != mine_col)), lambda c: cell(mine_row, c, yes, no))
+    dealt = sized.withColumn("c", F.explode(F.when(small, one).otherwise(F.concat(as_col, as_row)))).select("region", "id", "comp", "size", "c.*")
+    return (
+        dealt.join(reps.select("id", "sketch"), "id").repartition(*CELL).sortWithinPartitions(*CELL)
+        .mapInArrow(_cells(least, few), "a long, b long")
         .distinct()
     )
 
@@ -293,7 +348,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars, open_, tested = components(written(confirm(pairs, base, least, size), "near-links")), reps, pairs
     for again in ROUNDS:
         now = open_.join(stars, open_["id"] == stars["u"], "left").select("id", F.coalesce("v", "id").alias("comp"), "sig", "sketch")
-        found = written(candidates(now, again, region), "near-found")
+        found = written(between(now, *again, region), "near-found")
         more = written(found.where("a < b").join(tested, ["a", "b"], "left_anti"), "near-more")
         stars = components(stars.unionByName(confirm(more, base, least, size)))
         left = found.where("a = b").select(F.col("a").alias("id"))

@@ -161,3 +161,34 @@ def test_near_dedup_tests_every_likely_pair(spark):
     assert [k for k in range(1, 101) if alike(rows[0], rows[k]) >= 0.75] == [1]
     got = near_dedup.near_dedup(frame(spark, [(k, " ".join(r)) for k, r in enumerate(rows)]), size=1).collect()
     assert {r["component_id"] for r in got} == {0}
+
+
+def two_dense_families(n=60):
+    """Copies of X and a family around it, each alike throughout; one pair of the two is a true link."""
+    first, *family = one_link_family(0, n)
+    rng, core = random.Random(1), [w for w in first if w[0] == "c"]
+    rows = [first]
+    for k in range(n):
+        lost = set(rng.sample(core, 8))
+        rows.append([w for w in first if w not in lost] + [f"y{k}_{i}" for i in range(8)])
+    return rows, family
+
+
+def test_dense_regions_joined_by_one_link(spark):
+    """Regions of many blocks: every pair of blocks is compared."""
+    ones, others = two_dense_families()
+    links = [(i, j) for i, x in enumerate(ones) for j, y in enumerate(others) if alike(x, y) >= 0.75]
+    assert links == [(0, 0)]
+    rows = [(i, " ".join(r)) for i, r in enumerate(ones + others)]
+    random.Random(2).shuffle(rows)
+    got = near_dedup.near_dedup(frame(spark, rows), size=1, region=8).collect()
+    assert {r["component_id"] for r in got} == {0}
+
+
+def test_cells_meet_every_pair(spark):
+    """Each pair of different components of a region larger than its bound meets, whatever its block."""
+    one = frame(spark, [(0, "a b c d e f g")]).select("doc_id", "text").mapInPandas(near_dedup._describe(1), near_dedup.BASE).first()
+    reps = spark.createDataFrame([(i, i if i % 3 else 0, one["sig"], one["sketch"]) for i in range(50)], "id long, comp long, sig binary, sketch binary")
+    comp = lambda i: i if i % 3 else 0
+    got = [(r["a"], r["b"]) for r in near_dedup.between(reps, near_dedup.LIKELY, None, 8).collect()]
+    assert sorted(got) == [(i, j) for i in range(50) for j in range(i + 1, 50) if comp(i) != comp(j)]
