@@ -40,6 +40,19 @@ def test_license_edges(spark):
     assert license_scan.scan(frame(spark, [])).count() == 0
 
 
+def test_many_licenses_of_one_text(spark):
+    full = {name: t.replace("<...>", "Jane Doe") for name, _, t in sorted(TEMPLATES, key=lambda x: len(x[2])) if len(t) > 400}
+    rows = [
+        (1, "Licensed under the MIT License. Licensed under the Apache License, Version 2.0."),
+        (2, "\n\n".join(full.values())),
+        (3, " ".join(f"The permission of party {i} is void without a licence of court {i}." for i in range(60)) + " " + full["MIT"]),
+    ]
+    found = {}
+    for r in license_scan.scan(frame(spark, rows)).collect():
+        found.setdefault(r["doc_id"], set()).add(r["license"])
+    assert {"MIT", "Apache-2.0"} <= found[1] and set(full) <= found[2] and "MIT" in found[3]
+
+
 # -- Toxicity ----------------------------------------------------------------------------------------
 
 
