@@ -128,6 +128,16 @@ def decayed_weights_query(spark, d):
     return decayed_weights(actions(spark, d), ["user_id"], "2024-02-01", last=40)
 
 
+@query(
+    "F18_decayed_weights_300",
+    f"""WITH {ACTIONS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM actions)
+        SELECT user_id, round(sum(CASE action WHEN 'favorite' THEN 2.2 WHEN 'useful' THEN 1.6 WHEN 'view' THEN 0.8 ELSE 0.5 END * exp(-greatest(1, date_diff('day', CAST(ts AS DATE), DATE '2024-02-01')) / 30.0)), 6) AS weight FROM r WHERE rn <= 300 GROUP BY user_id""",
+)
+def decayed_weights_whole(spark, d):
+    """Over the last 300 actions, as surveyed; the query above is the same over 40."""
+    return decayed_weights(actions(spark, d), ["user_id"], "2024-02-01")
+
+
 @query("F20_keyword_hits", "SELECT doc_id, len(list_filter(['the', 'und', 'que', 'les', 'http'], lambda k: contains(text, k))) AS hits FROM documents")
 def keyword_hits(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(hits(F.col("text"), ["the", "und", "que", "les", "http"])).cast("long").alias("hits"))

@@ -122,3 +122,15 @@ def test_naive_bayes_learns(spark, sf):
     rows = catalog.queries()["L13_naive_bayes"](spark, sf).collect()
     held = [r for r in rows if r["doc_id"] % 5 == 0]
     assert sum(r["prediction"] == r["label"] for r in held) >= 0.8 * len(held)
+
+
+def test_decayed_weights_take_300_actions(spark, sf):
+    from noticewright import catalog
+    from noticewright.operators.aggregates import decayed_weights
+    from noticewright.plans.views import actions
+
+    acts = actions(spark, sf)
+    counts = {r["user_id"]: r["count"] for r in acts.groupBy("user_id").count().collect()}
+    assert 40 < max(counts.values()) <= 300
+    whole = {r["user_id"]: r["weight"] for r in decayed_weights(acts, ["user_id"], "2024-02-01", last=10**9).collect()}
+    assert {r["user_id"]: r["weight"] for r in catalog.queries()["F18_decayed_weights_300"](spark, sf).collect()} == pytest.approx(whole, abs=2e-6)
