@@ -105,7 +105,7 @@ def hotness_counters(spark, d):
     f"WITH {ACTIONS_SQL} SELECT user_id, d.source AS keyword, CAST(sum(CASE WHEN action = 'other' THEN -1 ELSE 1 END) AS BIGINT) AS weight FROM actions a JOIN documents d ON d.doc_id = a.item GROUP BY ALL",
 )
 def profile_weights(spark, d):
-    """Feedback of +1 or -1 summed by user and keyword."""
+    """Feedback of +1 or -1 summed by user and keyword, the source (F16 without tags and categories)."""
     joined = actions(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), F.col("item") == F.col("doc_id"))
     return joined.groupBy("user_id", F.col("source").alias("keyword")).agg(F.sum(F.when(F.col("action") == "other", -1).otherwise(1)).alias("weight"))
 

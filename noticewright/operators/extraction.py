@@ -76,7 +76,7 @@ UNITS = ["大学", "学院", "委员会", "协会", "学会", "中心", "部", "
 
 
 def organizer(text: Column) -> Column:
-    """Labelled hosts, cut at punctuation, valid if short and named like an organisation."""
+    """Labelled hosts, cut at punctuation, valid if short and named like an organisation (parts of K12 to K15)."""
     value = labelled(text, ["主办单位", "主办方", "主办", "organizer", "Organizer"], ["承办单位", "协办单位", "承办", "协办"])
     first = F.trim(F.regexp_replace(F.split(value, "[,，;；。]")[0], r"^(由|为|是)", ""))
     digits = F.length(F.regexp_replace(first, r"\D", ""))

@@ -124,7 +124,7 @@ def rule_rerank(spark, d):
           + 0.10 * (q + CASE WHEN days < 0 THEN 0 WHEN days <= 7 THEN 1.2 WHEN days <= 30 THEN 1.0 ELSE 0.5 END) AS DOUBLE), 6) AS score FROM x""",
 )
 def hybrid(spark, d):
-    """Static, dynamic and quality parts in one expression (M11); the hot list is aggregated before
+    """Static (two title words), dynamic and quality parts in one expression (part of M11); the hot list is aggregated before
     it is joined."""
     n = notices(spark, d).join(hotness(actions(spark, d)), F.col("id") == F.col("item"), "left")
     static = 7 * (F.contains("title", F.lit("The")).cast("int") + F.contains("title", F.lit("and")).cast("int"))
