@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -14,14 +15,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: Spark's setting that deletes the shuffle files of a job when the job ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests on one machine) a temporary folder is made and kept in the
-    session, so that later calls find the same one.
+    Where the setting is absent, a temporary folder serves a session whose executors are the
+    driver's own threads, and is kept in the session; a cluster without the setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not (m := spark.sparkContext.master).startswith("local") or m.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="noticewright-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -31,17 +38,52 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/noticewright/{label}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Jobs in here leave no shuffle files behind: what they write has replaced them."""
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: a lost executor costs no recomputation."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    with freed_shuffles(spark):
+        df.write.parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    again.written_path = path
+    return again
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_path)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it where columns of ``df`` have it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def one_spaced(text: Column) -> Column:
     """Null is empty; each run of white space becomes one space."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")

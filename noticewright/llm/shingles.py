@@ -6,12 +6,15 @@ import numpy as np
 
 SHINGLE = 5
 
-_LOWER = np.arange(256, dtype=np.uint64)
-_LOWER[65:91] += 32
+_LETTER = np.arange(1, 257, dtype=np.uint64)
+_LETTER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 _BASE = 0x9E3779B97F4A7C15
-_POWERS = np.ones(1, dtype=np.uint64)
+_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes whose hashes are added up together.
+_WINDOW = 1 << 18
+_POWERS = _INVERSES = np.ones(1, dtype=np.uint64)
 _PLACE = np.array([pow(0xD6E8FEB86659FD93, i + 1, 1 << 64) for i in range(SHINGLE)], dtype=np.uint64)
 
 
@@ -22,26 +25,41 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, ``n`` at least."""
+    global _POWERS, _INVERSES
     if len(_POWERS) < n:
-        _POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n, _BASE, dtype=np.uint64)]))
-    return _POWERS
+        _POWERS, _INVERSES = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, b, dtype=np.uint64)])) for b in (_BASE, _INVERSE))
+    return _POWERS, _INVERSES
+
+
+def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each word ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes, A-Z as a-z.
+
+    A word's hash is that of the polynomial of its bytes, which is a difference of running sums.
+    """
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[raw], [True]])))
+    starts, ends = edge[::2], edge[1::2]
+    value = np.empty(len(starts), dtype=np.uint64)
+    lo = 0
+    while lo < len(starts):
+        base = starts[lo]
+        hi = max(int(np.searchsorted(ends, base + _WINDOW, side="right")), lo + 1)
+        part = raw[base : ends[hi - 1]]
+        powers, inverses = _powers(len(part))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_LETTER[part] * powers[: len(part)])])
+        at = starts[lo:hi] - base
+        value[lo:hi] = (sums[ends[lo:hi] - base] - sums[at]) * inverses[at]
+        lo = hi
+    return starts, mixed(value + (ends - starts).astype(np.uint64))
+
+
+def utf8(text: str | None) -> np.ndarray:
+    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """A hash per word ``[^\\x20\\x09-\\x0D]+``, A-Z as a-z."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    inside = ~_SPACE[raw]
-    at = np.flatnonzero(inside)
-    if not len(at):
-        return np.empty(0, dtype=np.uint64)
-    first = np.concatenate([[True], np.diff(at) > 1])
-    starts = np.flatnonzero(first)
-    length = np.diff(np.concatenate([starts, [len(at)]]))
-    place = np.arange(len(at)) - np.repeat(starts, length)
-    value = (_LOWER[raw[at]] + np.uint64(1)) * _powers(int(length.max()))[place]
-    return mixed(np.add.reduceat(value, starts) + length.astype(np.uint64))
+    return word_spans(utf8(text))[1]
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
