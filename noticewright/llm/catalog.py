@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import exact_dedup, html_extract, license_scan, line_dedup, mixing, near_dedup, packing, topk, toxicity, warc
 
 
 def queries() -> dict:
     return {
-        "pipeline": corpus_pipeline.run,
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_license_scan": license_scan.op2_license_scan,
         "op3_toxicity": toxicity.op3_toxicity,

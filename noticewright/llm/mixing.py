@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, word_count, written
+from .common import columns, free_name, table, word_count, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -123,16 +123,19 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
-    """The mixed rows themselves: every row of ``docs`` as often as the plan takes it, all columns kept.
+    """The mixed rows themselves: every row of ``docs`` as often as the plan takes it, all columns
+    kept, whatever their names.
 
-    Rows that share an id are told apart by their rank within that id (by source, size, content).
+    Rows that share an id are told apart by their rank within that id (by source, size, content);
+    which of equal rows is taken makes no difference. An empty table gives an empty result.
     """
-    plan = mixing_plan(docs, id_col, text_col, source_col, seed).select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), "copies")
-    rank = lambda *by: F.row_number().over(Window.partitionBy("_id").orderBy(*by))
-    plan = plan.withColumn("_rank", rank("_src", "_size", "copies")).select("_id", "_rank", "copies")
-    keyed = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_size", word_count(F.col(text_col))).withColumn("_rank", rank(source_col, "_size", F.xxhash64(text_col)))
-    joined = keyed.join(plan.withColumnsRenamed({"_id": "_pid", "_rank": "_prank"}), F.col("_id").eqNullSafe(F.col("_pid")) & (F.col("_rank") == F.col("_prank")))
-    return joined.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    plan = mixing_plan(docs, id_col, text_col, source_col, seed)
+    own = {c: free_name(docs, f"_mix_{c}") for c in ("id", "size", "rank", "pid", "prank", "copies", "copy")}
+    rank = lambda who, *by: F.row_number().over(Window.partitionBy(who).orderBy(*by))
+    plan = plan.withColumn("rank", rank("doc_id", "source", "size", "copies")).select(F.col("doc_id").alias(own["pid"]), F.col("rank").alias(own["prank"]), F.col("copies").alias(own["copies"]))
+    keyed = docs.withColumn(own["id"], F.col(id_col).cast("long")).withColumn(own["size"], word_count(F.col(text_col))).withColumn(own["rank"], rank(own["id"], source_col, own["size"], F.xxhash64(text_col)))
+    joined = keyed.join(plan, F.col(own["id"]).eqNullSafe(F.col(own["pid"])) & (F.col(own["rank"]) == F.col(own["prank"])))
+    return joined.where(F.col(own["copies"]) > 0).withColumn(own["copy"], F.explode(F.sequence(F.lit(1), F.col(own["copies"])))).select(*columns(docs))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import dropped, table, written
 from .components import components
 from .shingles import SHINGLE, mixed, shingles
 
@@ -48,7 +48,7 @@ _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 1 << 63, TREES * DEPTH + BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, TREES * DEPTH + BITS, dtype=np.uint64)
 
-BASE = "doc_id long, n_shingles long, h1 long, h2 long, sig binary, sketch binary"
+BASE = "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, sig binary, sketch binary"
 ROW = "tree int, key binary, id long, comp long, sketch binary"
 CELL = ["region", "row", "col"]
 
@@ -64,10 +64,10 @@ def _describe(size: int):
     def run(frames: Iterator[pd.DataFrame]):
         for frame in frames:
             rows = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+            for doc_id, kind, text in zip(frame["doc_id"], frame["text_hash"], frame["text"], strict=True):
                 found = shingles(None if text is None or text is pd.NA else text, size)
                 if not len(found):
-                    rows.append((doc_id, 0, 0, 0, None, None))
+                    rows.append((doc_id, kind, 0, 0, 0, None, None))
                     continue
                 least = minhash(found)
                 values = (least[: TREES * DEPTH] >> np.uint64(32)).astype(">u4")
@@ -78,8 +78,8 @@ def _describe(size: int):
                 bits = np.packbits((spread[TWOS:] & np.uint64(1)).astype(np.uint8)).tobytes() + words.tobytes()
                 with np.errstate(over="ignore"):
                     h = np.array([found.sum(), mixed(found * _A[0]).sum()], dtype=np.uint64).astype(np.int64)
-                rows.append((doc_id, len(found), int(h[0]), int(h[1]), values.tobytes(), bits))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "h1", "h2", "sig", "sketch"]).astype({"doc_id": "Int64"})
+                rows.append((doc_id, kind, len(found), int(h[0]), int(h[1]), values.tobytes(), bits))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in BASE.split(", ")]).astype({"doc_id": "Int64"})
 
     return run
 
@@ -289,18 +289,19 @@ def between(reps: DataFrame, least: float, few: int | None, region: int = REGION
     )
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, least: tuple[int, int], size: int) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, least: tuple[int, int], size: int) -> DataFrame:
     """The (u, v) of ``pairs`` (a written table) whose full sets are similar enough.
-    ``docs``: doc_id, text."""
+    ``docs``: doc_id, text_hash, text; ``reps`` says which of them an id stands for."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
+    named = written(reps.select("id", "doc_id", "text_hash").join(ids, "id", "left_semi"), "near-named")
+    few = named.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(named) if few else named, ["doc_id", "text_hash"])
 
     def packed(frames):
         for f in frames:
-            yield pd.DataFrame({"id": f["doc_id"], "text": [zlib.compress(("" if t is None or t is pd.NA else t).encode("utf-8", "surrogatepass"), 1) for t in f["text"]]})
+            yield pd.DataFrame({"id": f["id"], "text": [zlib.compress(("" if t is None or t is pd.NA else t).encode("utf-8", "surrogatepass"), 1) for t in f["text"]]})
 
-    texts = written(texts.mapInPandas(packed, "id long, text binary").dropDuplicates(["id"]), "near-texts")
+    texts = written(texts.select("id", "text").mapInPandas(packed, "id long, text binary").dropDuplicates(["id"]), "near-texts")
     both = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
 
     def compared(frames):
@@ -326,39 +327,47 @@ def confirm(pairs: DataFrame, docs: DataFrame, least: tuple[int, int], size: int
             ok = f[yes]
             yield pd.DataFrame({"u": ok["a"], "v": ok["b"]})
 
-    return both.mapInPandas(compared, "u long, v long")
+    links = written(both.mapInPandas(compared, "u long, v long"), "near-links")
+    dropped(named, texts)
+    return links
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: tuple[int, int] = (75, 100), size: int = SHINGLE, region: int = REGION) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``.
+    """doc_id, n_shingles, component_id, kept, text_hash, stays: one row per row of ``docs``.
 
     Texts without words (null, empty) have no shingle and are linked with nothing. Rows with equal
-    sets, repeated rows included, are one document of the forest and share its component. A row
-    without an id links with nothing and is kept. An empty table gives an empty result; further
-    columns are ignored. Whole texts count, whatever their length.
+    sets, repeated rows included, are one document of the forest and share its component. Rows that
+    share an id are told apart by their texts; ``text_hash`` (Spark's hash of the text) goes with
+    the id for that. ``stays`` marks the first (id, text_hash) of a component, ``kept`` the rows with
+    its smallest id. A row without an id links with nothing, is kept and stays. An empty table gives
+    an empty result; further columns are ignored. Whole texts count, whatever their length.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(F.col(text_col)).cast("long").alias("text_hash"), F.col(text_col).alias("text"))
     described = written(base.mapInPandas(_describe(size), BASE), "near-base")
-    reps = written(
+    grouped = (
         described.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles")
-        .agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")),
-        "near-reps",
+        .agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
     )
+    # The id of a set is any number; written, it stays the same.
+    reps = written(grouped.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "n_shingles", "at.doc_id", "at.text_hash", "sig", "sketch"), "near-reps")
     pairs = written(candidates(reps.withColumn("comp", F.col("id")), region=region), "near-pairs")
-    stars, open_, tested = components(written(confirm(pairs, base, least, size), "near-links")), reps, pairs
+    stars, open_, tested = components(confirm(pairs, base, reps, least, size)), reps, pairs
     for again in ROUNDS:
         now = open_.join(stars, open_["id"] == stars["u"], "left").select("id", F.coalesce("v", "id").alias("comp"), "sig", "sketch")
         found = written(between(now, *again, region), "near-found")
         more = written(found.where("a < b").join(tested, ["a", "b"], "left_anti"), "near-more")
-        stars = components(stars.unionByName(confirm(more, base, least, size)))
+        stars = components(stars.unionByName(confirm(more, base, reps, least, size)))
         left = found.where("a = b").select(F.col("a").alias("id"))
         if left.isEmpty():
             break
         open_, tested = reps.join(left, "id", "left_semi"), tested.unionByName(more)
-    named = described.select("doc_id", "n_shingles", "h1", "h2").join(reps.select("h1", "h2", "n_shingles", "id"), ["h1", "h2", "n_shingles"], "left").join(stars, F.col("id") == F.col("u"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("v", "id", "doc_id"))
-    return named.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rooted = written(reps.select("id", "h1", "h2", "n_shingles", "doc_id", "text_hash").join(stars, F.col("id") == F.col("u"), "left").select("h1", "h2", "n_shingles", "doc_id", "text_hash", F.coalesce("v", "id").alias("root")), "near-rooted")
+    first = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    named = described.select("doc_id", "text_hash", "n_shingles", "h1", "h2").join(rooted.join(first, "root").select("h1", "h2", "n_shingles", "first"), ["h1", "h2", "n_shingles"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id"))
+    stays = F.col("doc_id").isNull() | F.col("first").isNull() | ((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash")))
+    return named.select("doc_id", "n_shingles", component.alias("component_id"), "text_hash", stays.alias("stays")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents"))
+    return near_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

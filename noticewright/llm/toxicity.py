@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import free_name, table, written
 
 #: n-gram lengths, in characters, and the hashed feature space.
 GRAMS = (3, 4, 5, 6)
@@ -144,7 +144,11 @@ def fit(labelled: DataFrame, sample_per_label: int = SAMPLE_PER_LABEL, rounds: i
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", out: str = "score") -> DataFrame:
-    """Add ``out`` (0 to 1) to ``docs``; a null text is an empty one and gets the bias alone."""
+    """Add ``out`` (0 to 1; with underscores behind it if the name is taken) to ``docs``.
+
+    A null text is an empty one and gets the bias alone. Whole texts count, whatever their length;
+    rows are independent, so repeated rows get equal scores, and an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -155,7 +159,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text",
             z = np.array([weight[hashed(None if t is None or t is pd.NA else t, wanted)].sum() + bias for t in texts])
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -700, 700))))
 
-    return docs.withColumn(out, scored(F.col(text_col)))
+    return docs.withColumn(free_name(docs, out), scored(F.col(text_col)))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -166,7 +170,9 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **how) -> dict:
     """Fit on the rows of ``docs`` that have a 0/1 label and aren't held out.
 
-    A document that is labelled twice counts once per label; null labels and ids don't join.
+    A document that is labelled twice counts once per label; null labels and ids don't join. Of
+    repeated rows each counts. Without rows of both labels, empty tables included, all scores are 0.5.
+    Further columns are no matter.
     """
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).distinct()
     known = written(known.where(~held_out(F.col("_id"))), "toxic-labels")

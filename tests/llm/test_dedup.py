@@ -187,7 +187,7 @@ def test_dense_regions_joined_by_one_link(spark):
 
 def test_cells_meet_every_pair(spark):
     """Each pair of different components of a region larger than its bound meets, whatever its block."""
-    one = frame(spark, [(0, "a b c d e f g")]).select("doc_id", "text").mapInPandas(near_dedup._describe(1), near_dedup.BASE).first()
+    one = frame(spark, [(0, "a b c d e f g")]).select("doc_id", F.lit(0).alias("text_hash"), "text").mapInPandas(near_dedup._describe(1), near_dedup.BASE).first()
     reps = spark.createDataFrame([(i, i if i % 3 else 0, one["sig"], one["sketch"]) for i in range(50)], "id long, comp long, sig binary, sketch binary")
     comp = lambda i: i if i % 3 else 0
     got = [(r["a"], r["b"]) for r in near_dedup.between(reps, near_dedup.LIKELY, None, 8).collect()]
