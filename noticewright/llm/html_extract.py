@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 TRAIN_PAGES = 1600
 TREES, DEPTH, RATE, BINS = 80, 5, 0.2, 32
@@ -35,8 +35,13 @@ NEUTRAL = frozenset(("#root", "html", "body", "head"))
 TOGETHER = 256
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas select option button audio video".split())
+#: Elements whose content isn't text of the page: code, fallbacks that aren't shown, form controls.
+#: Without an end tag only scripts and styles hold the rest of the page; of the others the text up to the next tag goes.
+CODE = frozenset(("script", "style"))
+HIDDEN = CODE | frozenset("textarea title noscript template iframe canvas audio video select datalist button".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+#: Elements that hold blocks rather than a line of text.
+HOLDERS = frozenset("#root html body div section article main aside header footer nav form center td li".split())
 #: Start tags that end an open paragraph, and the elements that a start tag of the same kind ends.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tr", "td", "th", "thead", "tbody")}
@@ -44,6 +49,7 @@ HOLDS = frozenset("ul ol dl table body article section div main aside".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S)
 ATTRIBUTE = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+AFTER = re.compile(r"\s*(?:\Z|</?([a-zA-Z][^\s/>]*))")
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -86,6 +92,23 @@ def parse(source: str) -> Page:
                 return 0
         return 0
 
+    def bound(tag: str) -> re.Pattern:
+        """The next end (group 1) or start of ``tag``."""
+        return ends.get(tag) or ends.setdefault(tag, re.compile(rf"<(/?){tag}\b[^>]*>", re.I))
+
+    def alone(tag: str) -> bool:
+        """Whether a span stands among blocks, not in a line of text: no text before it, none after."""
+        if stack[-1][0] not in HOLDERS:
+            return False
+        for node, text, _ in reversed(page.texts):
+            if text is None or node != stack[-1][1]:
+                break
+            if text.strip():
+                return False
+        m2 = next((x for x in bound(tag).finditer(source, at) if x[1]), None)
+        m3 = m2 and AFTER.match(source, m2.end())
+        return bool(m3) and (m3[1] or "div").lower() not in INLINE
+
     while True:
         m = TAG.search(source, at)
         if not m:
@@ -103,10 +126,14 @@ def parse(source: str) -> Page:
             elif tag == "p":
                 page.texts.append((stack[-1][1], None, False))
             continue
-        if tag in RAW:
-            end = ends.get(tag) or ends.setdefault(tag, re.compile(rf"</{tag}\b[^>]*>", re.I))
+        if tag in HIDDEN:
             if not attributes.endswith("/"):
-                at = m2.end() if (m2 := end.search(source, at)) else len(source)
+                m2 = bound(tag).search(source, at)
+                if m2 and (m2[1] or tag in CODE):
+                    m2 = m2 if m2[1] else next((x for x in bound(tag).finditer(source, at) if x[1]), None)
+                    at = m2.end() if m2 else len(source)
+                elif tag in CODE or (at := source.find("<", at)) < 0:
+                    at = len(source)
             continue
         if tag in ENDS_P and (i := opened(("p",), HOLDS)):
             close(i)
@@ -121,7 +148,7 @@ def parse(source: str) -> Page:
             continue
         named = tuple(t.lower() for a in ATTRIBUTE.findall(attributes) for t in TOKEN.findall(a[0] or a[1] or a[2])) if "=" in attributes else ()
         links += tag == "a"
-        if tag in INLINE and not (named and tag in ("span", "ins")):
+        if tag in INLINE and not (named and tag in ("span", "ins") and alone(tag)):
             stack.append((tag, here))
             continue
         page.texts.append((here, None, False))
@@ -416,9 +443,11 @@ def extract_many(sources: list[str], model: dict) -> list[str]:
 
 
 def extract(pages: DataFrame, model: dict | None = None, html_col: str = "html", out: str = "text") -> DataFrame:
-    """Add the main text of each page as ``out``. A null, empty or article-less page has an empty
-    text; broken markup is read as browsers do, roughly; whole pages are read, whatever their
-    length. Rows are independent: repeated rows, empty tables and further columns are no matter."""
+    """Add the main text of each page as ``out`` (with underscores behind it if the name is taken).
+
+    A null, empty or article-less page has an empty text; broken markup is read as browsers do,
+    roughly; whole pages are read, whatever their length. Rows are independent: repeated rows, empty
+    tables and further columns are no matter."""
     shared = pages.sparkSession.sparkContext.broadcast(model or train())
 
     @F.pandas_udf("string")
@@ -426,7 +455,7 @@ def extract(pages: DataFrame, model: dict | None = None, html_col: str = "html",
         for sources in batches:
             yield pd.Series(extract_many(["" if s is None or s is pd.NA else s for s in sources], shared.value), dtype=object)
 
-    return pages.withColumn(out, extracted(F.col(html_col)))
+    return pages.withColumn(free_name(pages, out), extracted(F.col(html_col)))
 
 
 def op10_html(spark, sf_dir: str) -> DataFrame:

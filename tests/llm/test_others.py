@@ -276,6 +276,34 @@ def test_pages_by_another_hand(model):
     assert html_extract.extract_many([page], model)[0] == want
 
 
+def test_text_inside_lines_stays(model):
+    """Marked words, formulas and open buttons in an article."""
+    page = """<html><head><title>x</title></head><body><nav class="menu"><a href=/>Home</a> <a href=/b>News</a></nav>
+    <article class="post"><h1>A day at the old harbour</h1>
+    <p><span class="dropcap">T</span>he wo<span class="hl">rd</span> split here, and <ins class="upd">an added remark</ins> stands in the line.</p>
+    <p>It holds that <math><mi>a</mi><mo>=</mo><mi>b</mi></math> whenever <span class="q">the boats come home at night and all the men of the town look out</span>, says one.</p>
+    <button>Like<p>The second paragraph follows an open button, and it has a number of words in it, too.</p>
+    <p>A third one, with <object>plain words</object> and a full stop at the end of it, comes last.</p></article>
+    <footer class="site-footer">&copy; nobody</footer></body></html>"""
+    assert html_extract.extract_many([page], model)[0] == (
+        "A day at the old harbour The word split here, and an added remark stands in the line. It holds that a = b whenever the boats come home at night"
+        " and all the men of the town look out, says one. The second paragraph follows an open button, and it has a number of words in it, too."
+        " A third one, with plain words and a full stop at the end of it, comes last."
+    )
+
+
+def test_names_that_are_taken(spark, model):
+    rows = [(1, html_extract.authored_page(random.Random(3)), "mine")]
+    got = html_extract.extract(frame(spark, rows, "page_id long, html string, text string"), model).first()
+    assert got["text"] == "mine" and got["text_"] == html_extract.extract_many([rows[0][1]], model)[0] != ""
+    docs = frame(spark, [(1, "a word", 3.0)], "doc_id long, text string, score double")
+    got = toxicity.score(docs, {"weight": np.zeros(1 << toxicity.SPACE_BITS), "bias": 0.0}).first()
+    assert got["score"] == 3.0 and got["score_"] == 0.5
+    docs = frame(spark, [(1, "a b c", "s", 7, "x"), (1, "d e f", "s", 8, "y")], "doc_id long, text string, source string, copies int, _id string")
+    got = mixing.mix(docs).collect()
+    assert all((r["copies"], r["_id"]) in ((7, "x"), (8, "y")) for r in got) and got
+
+
 def test_html_edges(spark, model):
     rows = [(1, None), (2, ""), (3, "<<<>>> <p"), (4, "<script>x"), (5, "<div" * 2000), (6, "<!-- " * 500), (7, "<a href='" * 300)]
     got = {r["page_id"]: r["text"] for r in html_extract.extract(frame(spark, rows, "page_id long, html string"), model).collect()}
@@ -327,3 +355,24 @@ def test_pipeline(spark, sf, tmp_path):
         assert name == "packing" or docs.columns == columns
     assert counts[0] >= counts[1] >= counts[2] >= counts[3] > 0
     assert json.dumps(pq.read_schema(next((tmp_path / "packing").glob("*.parquet"))).names)
+
+
+def test_pipeline_edges(spark, sf):
+    """Rows that share an id, repeated rows, nulls, empty texts, taken names, empty tables."""
+    import corpus_pipeline as c
+
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long, "en", "a"), (5, long + " end", "en", "a"), (5, "unique words stand here\nand a second line", "en", "a"), (6, "unique words stand here\nsix has its own", None, None), (7, None, None, "b"), (8, "", None, "b"), (None, long, "en", "a"), (9, "twice the same row of words here", "en", "a"), (9, "twice the same row of words here", "en", "a")]
+    docs = frame(spark, rows, "doc_id long, text string, lang string, source string").withColumns({"n_chars": F.length("text").cast("long"), "_removed": F.lit("r"), "_doc": F.lit(1), "copies": F.lit(2), "_score": F.lit(0.1), "_left": F.lit("l"), "stays": F.lit(True), "text_hash": F.lit(4)})
+    once = lambda stage, df: sorted((r["doc_id"] or 0, r["text"] or "") for r in stage(spark, df, sf).collect())
+    every = sorted((i or 0, t or "") for i, t, *_ in rows)
+    near = once(c.near_out, docs)
+    assert near == sorted((i or 0, t or "") for i, t, *_ in [*rows[:1], *rows[2:8]])
+    lines = once(c.lines_out, docs)
+    assert (5, "unique words stand here\nand a second line") in lines and (6, "six has its own") in lines
+    assert (0, long) in lines and (7, "") in lines and (8, "") in lines and lines.count((9, "twice the same row of words here")) == 2
+    assert once(c.toxic_out, docs) == every
+    assert {i for i, _ in once(c.mixed, docs)} <= {i for i, _ in every}
+    assert {r["doc_id"] for r in c.packed(spark, docs, sf).collect()} == {r[0] for r in rows}
+    for name, stage in c.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
