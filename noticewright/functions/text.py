@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 QUOTES = '"“”'
+#: Unicode's white space.
+UNICODE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SEPARATORS = r"[\s,，。；;、]+"
 
 
 def normalised(t: Column) -> Column:
     """Without any Unicode white space and double quotes, lower case."""
-    return F.lower(F.regexp_replace(t, rf"(?U)[\s{QUOTES}]+", ""))
+    return F.lower(F.translate(t, UNICODE_SPACE + QUOTES, ""))
 
 
 def without_punctuation(t: Column) -> Column:
@@ -79,11 +82,17 @@ def hits(t: Column, words: list[str]) -> Column:
     return F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(t, w))
 
 
-def contains_any(t: Column, words: list[str]) -> Column:
-    """One alternation, compiled once, instead of a test for each word."""
-    import re
+def any_word(words: list[str]) -> str:
+    """A pattern of any of ``words``. Testing for the range of the words' first characters before the
+    alternation makes one fast pass of texts in another script."""
+    first = sorted({w[0] for w in words})
+    low, high = [c for c in first if c < "\u0100"], [c for c in first if c >= "\u0100"]
+    guard = "".join(re.escape(c) for c in low) + (f"{high[0]}-{high[-1]}" if high else "")
+    return f"(?=[{guard}])(?:" + "|".join(re.escape(w) for w in words) + ")"
+
 
-    return t.rlike("|".join(re.escape(w) for w in words))
+def contains_any(t: Column, words: list[str]) -> Column:
+    return t.rlike(any_word(words))
 
 
 def months(n: Column) -> Column:

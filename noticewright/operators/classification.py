@@ -46,14 +46,19 @@ def _any(t: Column, words) -> Column:
     return contains_any(t, list(words)) if words else F.lit(False)
 
 
-def _weighed(title: Column, content: Column, words: dict[str, float], factor: float) -> Column:
+def _found(text: Column, words: dict[str, float]) -> Column:
+    """The words that occur, with their weights."""
+    listed = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(float(n)).alias("n")) for w, n in words.items()])
+    return F.when(contains_any(text, list(words)), F.filter(listed, lambda x: F.contains(text, x["w"]))).otherwise(F.filter(listed, lambda x: F.lit(False)))
+
+
+def _weighed(title: Column, found: Column, factor: float) -> Column:
     """Sum of weights over the words found, times ``factor`` for those in the title."""
-    table_ = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(float(n)).alias("n")) for w, n in words.items()])
-    return F.aggregate(table_, F.lit(0.0), lambda acc, x: acc + F.when(F.contains(title, x["w"]), x["n"] * factor).when(F.contains(content, x["w"]), x["n"]).otherwise(0.0))
+    return F.aggregate(found, F.lit(0.0), lambda acc, x: acc + F.when(F.contains(title, x["w"]), x["n"] * factor).otherwise(x["n"]))
 
 
 def _count(t: Column, words) -> Column:
-    return F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(t, w)))
+    return F.when(_any(t, words), F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(t, w)))).otherwise(0)
 
 
 def with_confidence(df: DataFrame, title: str, content: str, rules: Rules, out: str = "confidence") -> DataFrame:
@@ -67,11 +72,12 @@ def with_confidence(df: DataFrame, title: str, content: str, rules: Rules, out:
     both = F.concat(t, F.lit(" "), c)
     made = {"_nt": normalised(t), "_nc": normalised(c), "_text": normalised(both), "_tl": F.lower(t), "_cl": F.lower(c), "_both": both}
     nt, nc, text, tl, cl = (F.col(x) for x in ("_nt", "_nc", "_text", "_tl", "_cl"))
-    base = df.withColumns(made).withColumns(
+    either = F.concat(nt, F.lit("\n"), nc)
+    base = df.withColumns(made).withColumns({"_found": _found(either, rules.strong), "_found2": _found(either, rules.secondary)}).withColumns(
         {
-            "_strong": _weighed(nt, nc, rules.strong, 2.0) + 2.0 * _count(nc, rules.features),
-            "_n_strong": _count(F.concat(nt, F.lit("\n"), nc), list(rules.strong)),
-            "_second": _weighed(nt, nc, rules.secondary, 1.5),
+            "_strong": _weighed(nt, F.col("_found"), 2.0) + 2.0 * _count(nc, rules.features),
+            "_n_strong": F.size("_found"),
+            "_second": _weighed(nt, F.col("_found2"), 1.5),
             "_titled": _any(tl, rules.strong),
             "_in_content": _count(cl, list(rules.strong)),
             "_lectures": _count(cl, rules.lectures),
@@ -99,16 +105,24 @@ def with_confidence(df: DataFrame, title: str, content: str, rules: Rules, out:
     return base.withColumn(out, score).select(*df.columns, out)
 
 
-def vetoed(title: Column, content: Column, table_=None, strong=None) -> Column:
-    """Whether a notice is plainly no contest: the first pattern that fits decides (L3)."""
+def _in_one_pass(pattern: str) -> str:
+    """"(A).*(B)" as a pattern that looks for B behind the first A of a line only, which finds the
+    same texts without trying every A again."""
+    m = re.fullmatch(r"\(([^()]*)\)\.\*\(([^()]*)\)", pattern)
+    return rf"(?m)^(?>.*?(?:{m[1]})).*(?:{m[2]})" if m else pattern
+
+
+def vetoed(title: Column, content: Column, table_=None, strong=None, text: Column | None = None) -> Column:
+    """Whether a notice is plainly no contest: the first pattern that fits decides (L3). ``text``:
+    title and content normalised, where a column has that already."""
     title, content = F.coalesce(title, F.lit("")), F.coalesce(content, F.lit(""))
-    strong = "|".join(re.escape(w) for w in (strong or V.STRONG))
-    of = {"title": title, "content": content, "text": normalised(F.concat(title, content))}
+    strong = list(strong or V.STRONG)
+    of = {"title": title, "content": content, "text": normalised(F.concat(title, content)) if text is None else text}
     out = F.lit(False)
     for what, pattern, spare, verdict in reversed(V.VETO if table_ is None else table_):
-        hit = of[what].rlike(pattern)
+        hit = of[what].rlike(_in_one_pass(pattern))
         if spare:
-            hit = hit & ~of[what].rlike(strong if spare == "STRONG" else spare)
+            hit = hit & ~(_any(of[what], strong) if spare == "STRONG" else of[what].rlike(spare))
         out = F.when(hit, verdict).otherwise(out)
     return out
 
@@ -120,8 +134,10 @@ def decision(score: Column, veto: Column) -> Column:
 
 def classified(df: DataFrame, rules: Rules, title: str = "title", content: str = "content") -> DataFrame:
     """Score and decision of every row."""
-    veto = vetoed(F.col(title), F.col(content))
-    return with_confidence(df, title, content, rules).withColumn("decision", decision(F.col("confidence"), veto))
+    text = normalised(F.concat(F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(content), F.lit(""))))
+    scored = with_confidence(df, title, content, rules).withColumn("_veto_text", text)
+    veto = vetoed(F.col(title), F.col(content), text=F.col("_veto_text"))
+    return scored.withColumn("decision", decision(F.col("confidence"), veto)).drop("_veto_text")
 
 
 def first_category(t: Column, table_: list[tuple[str, list[str]]], default: str) -> Column:
