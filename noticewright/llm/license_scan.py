@@ -1,8 +1,8 @@
 """Licence scan by conditional compression.
 
 Candidate blocks are runs of sentences with a licence's words. Each is compressed alone and with
-every template as a raw dictionary; the templates that save most are compared with the block word by
-word, and the one with the fewest differences is reported if they are few. If the whole block isn't
+every template as a raw dictionary; the templates that save enough are compared with the block word
+by word, those that save most first, and the one with the fewest differences is reported if they are few. If the whole block isn't
 confirmed, windows of each template's own length are. What stands before and after a confirmed
 wording is scanned again until nothing confirms.
 """
@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from .common import table
 from .license_texts import CUES, TEMPLATES
 
-#: Templates that are compared word by word; how much of the block's size the best must save, and
-#: the share of the template's words that may be missing or changed.
-COMPARED, LEAST_SAVED, MOST_DIFFERENT = 4, 0.25, 0.2
+#: How much of the block's size a template must save to be compared word by word, and the share of
+#: the template's words that may be missing or changed.
+LEAST_SAVED, MOST_DIFFERENT = 0.25, 0.2
 
 FOUND = "doc_id long, start long, end long, license string, template string, saved double, missing long, added long, exact boolean"
 
@@ -93,7 +93,7 @@ class Scanner:
         alone = len(self.plain.compress(data))
         ranked = sorted(((1 - len(c.compress(data)) / alone, a, b, t) for a, b, t, c in self.templates), key=lambda x: (-x[0], x[1], x[2]))
         found = []
-        for saved, name, kind, template in [x for x in ranked if x[0] >= LEAST_SAVED][:COMPARED]:
+        for saved, name, kind, template in [x for x in ranked if x[0] >= LEAST_SAVED]:
             missing, added, first, last = differences(template, words)
             if last and missing + added <= MOST_DIFFERENT * len(template):
                 found.append((missing + added, -len(template), name, kind, saved, missing, added, at[first].start(), at[last - 1].end()))
