@@ -2,9 +2,9 @@
 
 Only the histogram of piece lengths reaches the driver: at most ``capacity`` numbers, whatever the
 corpus holds. A configuration says how many pieces of each length share a sequence. The covering
-program over all configurations is solved by multiplicative weights, its pricing problem being a
-knapsack; the fractional multiplicities are rounded down and what is left is filled by best fit,
-again on the histogram. The plan then maps (length, rank among the pieces of that length) to a
+program over all configurations is solved by multiplicative weights until primal and dual meet, its
+pricing problem being a knapsack; the fractional multiplicities are rounded, and best fit fills what
+rounding leaves, again on the histogram. The plan then maps (length, rank among the pieces of that length) to a
 place, and the ranks are numbered on the executors.
 """
 
@@ -25,8 +25,10 @@ from .common import table, written
 
 CAPACITY = 2048
 END_ID = 0
-#: Steps of the multiplicative weights, and how far a step may move them.
-STEPS, STEP = 400, 0.5
+#: Steps of the multiplicative weights, how far a step may move them, and the gap to end at.
+STEPS, STEP, GAP = 1000, 0.3, 0.015
+#: Classes of lengths that the program tells apart.
+CLASSES = 256
 #: Parts of texts whose ids a Python worker remembers (some 150 bytes each).
 REMEMBERED = 300_000
 #: Pieces that are numbered together.
@@ -116,86 +118,158 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, PIECE)
 
 
-def knapsack(value: np.ndarray, length: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths of the largest value within ``capacity``: {index: times}."""
+def knapsack(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each item the multiset of the largest value within ``capacity`` that holds it: a row of
+    counts, and its value. ``size`` ascends. One table of the dynamic program serves them all; the
+    largest of the values is that of the best multiset."""
     best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = np.argsort(length)
-    sizes, worth = length[order], value[order]
-    ends = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
+    ends = np.searchsorted(size, np.arange(capacity + 1), side="right")
     for room in range(1, capacity + 1):
         best[room] = best[room - 1]
         if end := ends[room]:
-            got = best[room - sizes[:end]] + worth[:end]
+            got = best[room - size[:end]] + value[:end]
             i = int(got.argmax())
             if got[i] > best[room]:
                 best[room], last[room] = got[i], i
-    times: dict[int, int] = {}
-    room = capacity
-    while room > 0:
-        if last[room] < 0:
-            room -= 1
-        else:
-            i = int(order[last[room]])
-            times[i] = times.get(i, 0) + 1
-            room -= int(length[i])
-    return times
-
-
-def fractional(length: np.ndarray, count: np.ndarray, capacity: int, steps: int = STEPS, step: float = STEP) -> list[tuple[dict[int, int], float]]:
-    """Configurations and multiplicities that cover every length about ``count`` times.
-
-    Multiplicative weights: a length's weight falls as it gets covered; the configuration of the
-    largest weight is taken as often as covers its scarcest length by one ``step``.
+    filled = np.maximum.accumulate(np.where(last >= 0, np.arange(capacity + 1), 0))
+    rows = np.eye(len(size), dtype=np.int32)
+    room = filled[capacity - size]
+    while (going := np.flatnonzero(room)).size:
+        i = last[room[going]]
+        rows[going, i] += 1
+        room[going] = filled[room[going] - size[i]]
+    return rows, value + best[capacity - size]
+
+
+def fractional(size: np.ndarray, count: np.ndarray, capacity: int, steps: int = STEPS, step: float = STEP, gap: float = GAP) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """Configurations ({index: times}) with multiplicities that cover every size ``count`` times,
+    and a lower bound on the sum of the multiplicities.
+
+    Multiplicative weights: a size's weight falls as it gets covered. A step prices all
+    configurations by one knapsack and takes those within half a ``step`` of the best, so much of
+    them that the most covered size gains one ``step``. The weights over the best value are a dual
+    solution, the source of the bound; the cover, scaled up to cover its scarcest size, is a primal
+    one. Steps end when both are within ``gap``, or after ``steps`` of them that cover all sizes.
     """
-    weight = length / capacity / count
-    covered, found = np.zeros(len(length)), {}
-    for _ in range(steps):
-        config = knapsack(weight, length, capacity)
-        i, a = np.array(list(config)), np.array(list(config.values()))
-        times = float((count[i] / a).min()) * step
-        covered[i] += a * times
-        weight[i] *= np.exp(-step * a * times / count[i])
+    weight = size / capacity
+    covered, found, total, lower = np.zeros(len(size)), {}, 0.0, 0.0
+    done = 0
+    while done < steps or not covered.min() > 0:
+        rows, worth = knapsack(weight, size, capacity)
+        top = worth.max()
+        lower = max(lower, float((weight * count).sum() / top))
+        good = np.unique(rows[worth >= (1 - step / 2) * top], axis=0)
+        times = (count / np.maximum(good, 1e-9)).min(axis=1)
+        gain = good.T @ times / count
+        times, gain = times * step / gain.max(), gain * step / gain.max()
+        covered += gain
+        total += times.sum()
+        for row, t in zip(good, times, strict=True):
+            key = row.tobytes()
+            found[key] = found.get(key, 0.0) + t
+        weight *= np.exp(-gain)
         weight /= weight.max()
-        key = tuple(sorted(config.items()))
-        found[key] = found.get(key, 0.0) + times
-    # A length that is covered too often limits each configuration that holds it.
-    over = np.maximum(covered / count, 1e-12)
-    return [(dict(key), times / max(1.0, *(over[i] for i, _ in key))) for key, times in found.items()]
-
-
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> list[tuple[list[int], int]]:
-    """[(lengths that share a sequence, how many such sequences)], covering ``histogram`` exactly."""
-    left = {n: c for n, c in histogram.items() if c > 0}
-    if not left:
-        return []
-    length = np.array(sorted(left), dtype=np.int64)
+        done += 1
+        if covered.min() > 0 and total <= lower * (1 + gap) * covered.min():
+            break
     out = []
-    for config, times in sorted(fractional(length, np.array([left[n] for n in length], dtype=float), capacity, steps), key=lambda x: -x[1]):
-        whole = min(int(times), *(left[int(length[i])] // a for i, a in config.items()))
-        if whole > 0:
-            out.append(([int(length[i]) for i, a in config.items() for _ in range(a)], whole))
-            for i, a in config.items():
-                left[int(length[i])] -= a * whole
-    # Best fit on what rounding left: the longest length, then the longest that still fits. Each
-    # pattern repeats until one of its lengths runs short, so the number of patterns is bounded.
-    sizes = sorted(n for n, c in left.items() if c)
-    while sizes:
-        room, taken = capacity, {}
-        while room and (i := bisect.bisect_right(sizes, room)):
-            while i and taken.get(sizes[i - 1], 0) >= left[sizes[i - 1]]:
+    for key, t in found.items():
+        row = np.frombuffer(key, dtype=np.int32)
+        out.append(({int(i): int(row[i]) for i in np.flatnonzero(row)}, t / covered.min()))
+    return out, lower
+
+
+class _Left:
+    """Pieces that no sequence holds yet, by length and by size class."""
+
+    def __init__(self, histogram: dict[int, int], unit: int, classes: int):
+        self.count = {n: c for n, c in histogram.items() if c > 0}
+        self.lengths = sorted(self.count)
+        self.classes: dict[int, list[int]] = {}
+        for n in self.lengths:
+            self.classes.setdefault(min(classes, max(1, round(n / unit))), []).append(n)
+        self.class_of = {n: s for s, some in self.classes.items() for n in some}
+
+    def fill(self, taken: dict[int, int], room: int) -> int:
+        """Best fit: the longest piece that still fits, again and again."""
+        while room and (i := bisect.bisect_right(self.lengths, room)):
+            while i and taken.get(self.lengths[i - 1], 0) >= self.count[self.lengths[i - 1]]:
                 i -= 1
             if not i:
                 break
-            n = sizes[i - 1]
-            more = min(room // n, left[n] - taken.get(n, 0))
+            n = self.lengths[i - 1]
+            more = min(room // n, self.count[n] - taken.get(n, 0))
             taken[n] = taken.get(n, 0) + more
             room -= more * n
-        times = min(left[n] // a for n, a in taken.items())
-        out.append(([n for n, a in taken.items() for _ in range(a)], times))
+        return room
+
+    def choose(self, taken: dict[int, int], size: int, room: int) -> int:
+        """One more piece of a size class, of its most frequent length; 0 where none fits."""
+        free = [(self.count[n] - taken.get(n, 0), n) for n in self.classes.get(size, ()) if n <= room]
+        c, n = max(free, default=(0, 0))
+        if c <= 0:
+            return 0
+        taken[n] = taken.get(n, 0) + 1
+        return n
+
+    def remove(self, taken: dict[int, int], times: int) -> None:
         for n, a in taken.items():
-            left[n] -= a * times
-            if not left[n]:
-                sizes.pop(bisect.bisect_left(sizes, n))
+            self.count[n] -= a * times
+            if not self.count[n]:
+                self.lengths.pop(bisect.bisect_left(self.lengths, n))
+                self.classes[self.class_of[n]].remove(n)
+                del self.count[n]
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS, report: dict | None = None) -> list[tuple[list[int], int]]:
+    """[(lengths that share a sequence, how many such sequences)], covering ``histogram`` exactly.
+
+    The program works on size classes: lengths over ``unit``, to the nearest. Multiplicities are
+    rounded in order, what one loses the next one gains, so that small ones count too. A
+    configuration becomes sequences of real lengths: those of its classes but the last piece, which
+    is the longest that fits. Where a class has run out or a sequence stays emptier than meant,
+    the pieces stay free, and best fit packs what is left after all configurations. ``report`` gets the number of sequences, the bound and the share of pieces' tokens that
+    stand where the program put them.
+    """
+    if not any(c > 0 for c in histogram.values()):
+        return []
+    unit = max(1, -(-capacity // CLASSES))
+    classes = capacity // unit
+    left = _Left(histogram, unit, classes)
+    size = np.array(sorted(left.classes), dtype=np.int64)
+    count = np.array([sum(left.count[n] for n in left.classes[int(s)]) for s in size], dtype=float)
+    found, bound = fractional(size, count, classes, steps)
+    out, by_program, carry = [], 0, 0.0
+    for config, times in sorted(found, key=lambda x: sorted(x[0].items(), reverse=True), reverse=True):
+        whole = int(times + carry)
+        carry += times - whole
+        slots = [int(size[i]) for i in sorted(config, reverse=True) for _ in range(config[i])]
+        while whole and left.count:
+            taken: dict[int, int] = {}
+            room, held = capacity, 0
+            for s in slots[:-1]:
+                n = left.choose(taken, s, room)
+                room, held = room - n, held + (n > 0)
+            if held < len(slots) - 1 or slots[-1] not in left.classes:
+                break  # a class has run out
+            room = left.fill(taken, room)
+            if room > (classes - sum(slots)) * unit:
+                break  # emptier than the program meant it: its pieces stay free for other sequences
+            n_times = min(whole, *(left.count[n] // a for n, a in taken.items()))
+            out.append(([n for n, a in taken.items() for _ in range(a)], n_times))
+            by_program += (capacity - room) * n_times
+            left.remove(taken, n_times)
+            whole -= n_times
+    # Each pattern repeats until one of its lengths runs short, so the number of patterns is bounded.
+    while left.count:
+        taken = {}
+        left.fill(taken, capacity)
+        times = min(left.count[n] // a for n, a in taken.items())
+        out.append(([n for n, a in taken.items() for _ in range(a)], times))
+        left.remove(taken, times)
+    if report is not None:
+        tokens = sum(n * c for n, c in histogram.items())
+        report.update(sequences=sum(t for _, t in out), at_least=-(-tokens // capacity), bound=bound, share=by_program / tokens, patterns=len(out), configurations=len(found))
     return out
 
 

@@ -1,5 +1,6 @@
 """Licences, toxicity, top-k, WARC, packing, mixing and HTML."""
 
+import itertools
 import json
 import random
 import zlib
@@ -193,10 +194,36 @@ def test_plan_covers_the_histogram():
             assert sum(t for _, t in plan) <= 1.01 * -(-sum(n * c for n, c in counts.items()) // 2048) + 2
 
 
+def test_program_does_the_packing():
+    """Where all lengths occur, nearly all tokens stand where the program put them, and hardly a
+    sequence is too many; where few do, best fit has more to mend."""
+    rng = random.Random(5)
+    dense, sparse = {n: rng.randint(1, 3000) for n in range(1, 2049)}, {rng.randint(1, 2048): rng.randint(100, 3000) for _ in range(700)}
+    for counts, share, over in ((dense, 0.9, 1.001), (sparse, 0.5, 1.01)):
+        report = {}
+        packing.plan(counts, report=report)
+        assert report["share"] > share
+        assert report["at_least"] <= report["sequences"] <= over * report["at_least"] + 1
+
+
+def test_fractional_is_near_its_bound():
+    size, count = np.arange(1, 41), np.arange(1, 41)[::-1].astype(float)
+    found, lower = packing.fractional(size, count, 40, gap=0.03)
+    assert lower <= sum(t for _, t in found) <= 1.03 * lower
+    covered = np.zeros(len(size))
+    for config, times in found:
+        assert sum(size[i] * a for i, a in config.items()) <= 40
+        for i, a in config.items():
+            covered[i] += a * times
+    assert (covered >= count * (1 - 1e-9)).all()
+
+
 def test_knapsack():
     value, length = np.array([1.0, 1.9, 3.5]), np.array([3, 5, 9])
-    got = packing.knapsack(value, length, 14)
-    assert sum(value[i] * n for i, n in got.items()) == pytest.approx(5.4) and sum(length[i] * n for i, n in got.items()) <= 14
+    rows, worth = packing.knapsack(value, length, 14)
+    brute = lambda i: max(value @ np.add(x, np.eye(3)[i]) for x in itertools.product(range(5), repeat=3) if length @ np.add(x, np.eye(3)[i]) <= 14)
+    assert worth.max() == pytest.approx(5.4) and (rows @ length <= 14).all() and (rows.diagonal() > 0).all()
+    assert rows @ value == pytest.approx(worth) and worth == pytest.approx([brute(i) for i in range(3)])
 
 
 # -- Mixing ------------------------------------------------------------------------------------------
