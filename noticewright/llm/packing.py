@@ -203,14 +203,26 @@ class _Left:
             room -= more * n
         return room
 
-    def choose(self, taken: dict[int, int], size: int, room: int) -> int:
-        """One more piece of a size class, of its most frequent length; 0 where none fits."""
-        free = [(self.count[n] - taken.get(n, 0), n) for n in self.classes.get(size, ()) if n <= room]
-        c, n = max(free, default=(0, 0))
-        if c <= 0:
-            return 0
-        taken[n] = taken.get(n, 0) + 1
-        return n
+    def free(self, taken: dict[int, int], size: int, room: int) -> list[int]:
+        """Lengths of a size class that fit and have pieces left, the most frequent first."""
+        some = [(self.count[n] - taken.get(n, 0), n) for n in self.classes.get(size, ()) if n <= room]
+        return [n for c, n in sorted(some, reverse=True) if c > 0]
+
+    def sequence(self, slots: list[int], capacity: int, empty: int) -> dict[int, int] | None:
+        """Pieces for a configuration (classes, the largest first) that leave at most ``empty``
+        places: those of its classes but the last, the last but one by trial, then best fit. None
+        where a class has run out or no trial fills the sequence."""
+        taken: dict[int, int] = {}
+        for s in slots[:-2]:
+            if not (some := self.free(taken, s, capacity)):
+                return None
+            taken[some[0]] = taken.get(some[0], 0) + 1
+            capacity -= some[0]
+        for n in self.free(taken, slots[-2], capacity) if len(slots) > 1 else (0,):
+            tried = taken | {n: taken.get(n, 0) + 1} if n else {}
+            if self.fill(tried, capacity - n) <= empty:
+                return tried
+        return None
 
     def remove(self, taken: dict[int, int], times: int) -> None:
         for n, a in taken.items():
@@ -226,10 +238,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS
 
     The program works on size classes: lengths over ``unit``, to the nearest. Multiplicities are
     rounded in order, what one loses the next one gains, so that small ones count too. A
-    configuration becomes sequences of real lengths: those of its classes but the last piece, which
-    is the longest that fits. Where a class has run out or a sequence stays emptier than meant,
-    the pieces stay free, and best fit packs what is left after all configurations. ``report`` gets the number of sequences, the bound and the share of pieces' tokens that
-    stand where the program put them.
+    configuration becomes sequences of real lengths that are as full as it is; where that isn't
+    possible, the pieces stay free, and best fit packs what is left after all configurations.
+    ``report`` gets the number of sequences, the bounds and the share of the tokens that stand where
+    the program put them.
     """
     if not any(c > 0 for c in histogram.values()):
         return []
@@ -245,19 +257,11 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS
         carry += times - whole
         slots = [int(size[i]) for i in sorted(config, reverse=True) for _ in range(config[i])]
         while whole and left.count:
-            taken: dict[int, int] = {}
-            room, held = capacity, 0
-            for s in slots[:-1]:
-                n = left.choose(taken, s, room)
-                room, held = room - n, held + (n > 0)
-            if held < len(slots) - 1 or slots[-1] not in left.classes:
-                break  # a class has run out
-            room = left.fill(taken, room)
-            if room > (classes - sum(slots)) * unit:
-                break  # emptier than the program meant it: its pieces stay free for other sequences
+            if not (taken := left.sequence(slots, capacity, (classes - sum(slots)) * unit)):
+                break  # its pieces stay free for other sequences
             n_times = min(whole, *(left.count[n] // a for n, a in taken.items()))
             out.append(([n for n, a in taken.items() for _ in range(a)], n_times))
-            by_program += (capacity - room) * n_times
+            by_program += sum(n * a for n, a in taken.items()) * n_times
             left.remove(taken, n_times)
             whole -= n_times
     # Each pattern repeats until one of its lengths runs short, so the number of patterns is bounded.

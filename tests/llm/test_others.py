@@ -199,7 +199,7 @@ def test_program_does_the_packing():
     sequence is too many; where few do, best fit has more to mend."""
     rng = random.Random(5)
     dense, sparse = {n: rng.randint(1, 3000) for n in range(1, 2049)}, {rng.randint(1, 2048): rng.randint(100, 3000) for _ in range(700)}
-    for counts, share, over in ((dense, 0.9, 1.001), (sparse, 0.5, 1.01)):
+    for counts, share, over in ((dense, 0.85, 1.001), (sparse, 0.5, 1.01)):
         report = {}
         packing.plan(counts, report=report)
         assert report["share"] > share
