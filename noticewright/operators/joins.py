@@ -33,17 +33,21 @@ def or_anti(new: DataFrame, stored: DataFrame, keys: tuple[str, str], order: lis
     return left.join(stored.select(a).distinct(), a, "left_anti").join(stored.select(b).distinct(), b, "left_anti")
 
 
-def longest_contained(docs: DataFrame, names: DataFrame, text: Column, name: str, window: int | None = None) -> DataFrame:
-    """For each row of ``docs`` the longest ``name`` that its text contains, ties by name.
+def longest_contained(docs: DataFrame, names: DataFrame, text: Column, name: str, window: int = 12) -> DataFrame:
+    """For each row of ``docs`` (``id`` tells rows apart) the longest ``name`` that its text contains
+    anywhere, ties by name (E4, E5). Empty names match nothing; a null text has no match.
 
-    ``names`` shares its first ``window`` characters as an equi-join key, so that no text meets
-    every name: a text's substrings of that length at word starts are matched to the keys, and the
-    whole name is tested for those alone. Names are taken to start at a word start.
+    The first ``window`` characters of a name, or the whole of a shorter one, are an equi-join key,
+    so that no text meets every name: the substrings of those lengths at every position of a text
+    are matched to the keys with its id alone, and only hits meet the text again, for the whole name.
     """
-    window = window or 12
-    keyed = names.select(F.col(name).alias("_name")).where(F.length("_name") >= window).distinct().withColumn("_key", F.substring("_name", 1, window))
-    starts = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?<![\p{{L}}\p{{N}}])(?=(.{{{window}}}))"), F.lit(1)))
-    found = docs.withColumn("_text", text).withColumn("_key", F.explode(starts)).join(keyed, "_key").where(F.contains("_text", F.col("_name")))
+    keyed = names.select(F.col(name).alias("_name")).where(F.length("_name") > 0).distinct().withColumn("_key", F.substring("_name", 1, window))
+    lengths = sorted(r[0] for r in keyed.select(F.length("_key")).distinct().collect())  # at most ``window`` numbers
+    if not lengths:
+        return docs.withColumn("match", F.lit(None).cast("string"))
+    parts = F.concat(*[F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))) for n in lengths])
+    hits = docs.select("id", F.explode(parts).alias("_key")).join(keyed, "_key").select("id", "_name")
+    found = docs.select("id", text.alias("_text")).join(hits, "id").where(F.contains("_text", F.col("_name")))
     best = found.groupBy("id").agg(F.max_by("_name", F.struct(F.length("_name"), "_name")).alias("match"))
     return docs.join(best, "id", "left")
 
@@ -181,22 +185,28 @@ def overlay(spark, d):
 def model_order(spark, d):
     """Ranked ids first, ids without a rank after them in their own order. The ranks run over the
     whole list, which the reference bounds at a dozen candidates; here conversations stand for them
-    and a range partitioning numbers them without one task that sees all."""
+    and ranges are numbered without one task that sees all."""
     conv = table(spark, d, "conversations").groupBy("conv_id").agg(F.min(F.when(F.col("role") == "assistant", F.col("turn"))).alias("pos"))
     ordered = conv.select("conv_id", F.coalesce("pos", F.lit(1000000) + F.col("conv_id")).alias("key"))
     return numbered(ordered, ["key", "conv_id"], "place").select("conv_id", "place")
 
 
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Consecutive numbers from 1 in a total order, without one task that sees every row: buckets of
-    the first key, their sizes summed up, then a row number in each bucket."""
-    key = order[0]
-    width = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    bucketed = df.join(F.broadcast(width), F.lit(True)).withColumn("_b", F.floor((F.col(key) - F.col("lo")) / F.greatest(F.lit(1.0), (F.col("hi") - F.col("lo") + 1) / 256.0)))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = bucketed.groupBy("_b").count().select("_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    number = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
-    return bucketed.withColumn("_n", number).join(F.broadcast(sizes), "_b").withColumn(name, (F.col("_n") + F.col("_before")).cast("long")).drop("_b", "_n", "_before", "lo", "hi")
+def numbered(df: DataFrame, order: list[str], name: str, parts: int = 64) -> DataFrame:
+    """Consecutive numbers from 1 in a total order of two numeric columns, without one task that sees
+    every row: ranges between sampled quantiles of the first column, their sizes summed up, then a
+    row number in each range. A value that is itself a quantile is a range of its own, cut further
+    at the quantiles of the second column, so that frequent values are split too. The driver gets
+    the quantiles, at most 2 * ``parts`` numbers.
+    """
+    at = [i / parts for i in range(1, parts)]
+    first, second = (sorted(set(bounds)) for bounds in df.approxQuantile(order, at, 1 / (4 * parts)))
+    below = lambda c, bounds: sum(((F.col(c) > b).cast("int") for b in bounds), F.lit(0))
+    own = F.col(order[0]).isin(first) if first else F.lit(False)
+    ranged = df.withColumns({"_a": 2 * below(order[0], first) + own.cast("int"), "_b": F.when(own, below(order[1], second)).otherwise(0)})
+    before = Window.orderBy("_a", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_a", "_b").count().select("_a", "_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_a", "_b").orderBy(*order))
+    return ranged.withColumn("_n", number).join(F.broadcast(sizes), ["_a", "_b"]).withColumn(name, (F.col("_n") + F.col("_before")).cast("long")).drop("_a", "_b", "_n", "_before")
 
 
 CATEGORY_RULES = [("legal", ["icensed", "reserved", "Released"], ["zzz"]), ("prose", [" the ", " und ", " que ", " les "], ["icensed"]), ("data", ["|", "@", "http"], []), ("other", [], [])]
@@ -223,7 +233,10 @@ def taxonomy_argmax(spark, d):
 )
 def interest_match(spark, d):
     """Interests against the categories of one group: equality 2, containment 1, the first of the best."""
-    pairs = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("n_regionkey") == F.col("c_custkey") % 5)
+    nations = table(spark, d, "nation")
+    if nations.count() <= BROADCAST_NAMES:
+        nations = F.broadcast(nations)
+    pairs = table(spark, d, "customer").join(nations, F.col("n_regionkey") == F.col("c_custkey") % 5)
     score = F.when(F.lower("n_name") == F.lower("c_mktsegment"), 2.0).when(F.contains("c_name", F.col("n_nationkey").cast("string")), 1.0).otherwise(0.0)
     return pairs.groupBy("c_custkey").agg(F.max_by("n_name", score * 1000 - F.col("n_nationkey")).alias("best"))
 
@@ -231,16 +244,38 @@ def interest_match(spark, d):
 @query(
     "E19_fuzzy_title",
     """WITH a AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS w, p_size FROM part),
-       b AS (SELECT p_brand, list_distinct(string_split(lower(p_name), ' ')) AS w, p_partkey AS kb FROM part WHERE p_partkey % 40 = 0),
+       b AS (SELECT p_brand, list_distinct(string_split(lower(p_name), ' ')) AS w, p_partkey AS kb FROM part),
        t AS (SELECT a.p_partkey, b.kb, count(*) * 15 AS score FROM (SELECT p_partkey, unnest(w) AS t FROM a) a JOIN (SELECT kb, unnest(w) AS t FROM b) b ON a.t = b.t AND a.p_partkey <> b.kb GROUP BY ALL)
        SELECT kb, arg_max(p_partkey, score * 1000000 - p_partkey) AS item, max(score) AS score FROM t WHERE score >= 30 GROUP BY kb""",
 )
 def fuzzy_title(spark, d):
-    """Best title by shared words, at least 30 points: joined on words, not on every pair of titles."""
-    words = lambda df, key: df.select(F.col("p_partkey").alias(key), F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("t"))
-    part = table(spark, d, "part")
-    score = words(part, "p_partkey").join(words(part.where("p_partkey % 40 = 0"), "kb"), "t").where("p_partkey <> kb").groupBy("kb", "p_partkey").agg((F.count("*") * 15).alias("score")).where("score >= 30")
-    return score.groupBy("kb").agg(F.max_by("p_partkey", F.col("score") * 1000000 - F.col("p_partkey")).alias("item"), F.max("score").alias("score"))
+    """For every title the best other one by shared words, 15 points each and at least 30, the
+    smaller key of equal ones."""
+    best = best_title(table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("title")))
+    return best.select(F.col("key").alias("kb"), "item", "score")
+
+
+def best_title(titles: DataFrame) -> DataFrame:
+    """key, item, score: for each row of ``titles`` (key, title) the other row that shares the most
+    words (E19, M17).
+
+    Titles of the same words are one set, however many rows have them; sets meet on pairs of words,
+    since 30 points take two, and the number of pairs they share gives that of the words.
+    """
+    words = F.array_sort(F.array_distinct(F.split(F.lower("title"), " ")))
+    rows = titles.select("key", words.alias("words"))
+    two = rows.withColumn("_n", F.row_number().over(Window.partitionBy("words").orderBy("key"))).where("_n <= 2")
+    sets = two.groupBy("words").agg(F.min("key").alias("set"), F.max(F.when(F.col("_n") == 2, F.col("key"))).alias("second"))
+    pairs = F.flatten(F.transform("words", lambda a, i: F.transform(F.slice("words", i + 2, F.size("words")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    keyed = sets.select("set", F.explode(pairs).alias("pair"))
+    met = keyed.join(keyed.withColumnRenamed("set", "other"), "pair").where("set <> other").groupBy("set", "other").count()
+    shared = ((1 + F.sqrt(1 + 8 * F.col("count"))) / 2).cast("long")
+    other = met.groupBy("set").agg(F.max(F.struct((15 * shared).alias("score"), (-F.col("other")).alias("item"))).alias("other"))
+    mates = rows.join(sets, "words").join(other, "set", "left")
+    mate = F.when(F.col("key") == F.col("set"), F.col("second")).otherwise(F.col("set"))
+    same = F.when(mate.isNotNull() & (F.size("words") >= 2), F.struct((15 * F.size("words")).cast("long").alias("score"), (-mate).alias("item")))
+    best = F.greatest(F.coalesce(same, "other"), F.coalesce("other", same))
+    return mates.select("key", best.alias("best")).where("best is not null").select("key", (-F.col("best.item")).alias("item"), F.col("best.score").alias("score"))
 
 
 @query(

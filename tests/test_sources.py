@@ -1,7 +1,9 @@
+import random
+
 from pyspark.sql import functions as F
 
 from noticewright.operators.filters import field_keyword, ilike_all
-from noticewright.operators.joins import first_per, insert_or_ignore, longest_contained, or_anti
+from noticewright.operators.joins import best_title, first_per, insert_or_ignore, longest_contained, numbered, or_anti
 from noticewright.sources.html import block_text, decoded, joined_url, page_text
 from noticewright.sources.tables import coalesce_columns, delete, latest_status, read_csv, scratch, upsert, write_csv
 
@@ -46,6 +48,37 @@ def test_longest_contained(spark):
     assert got == {1: "abcdefghijklmno", 2: None, 3: None}
 
 
+def test_longest_contained_short_names(spark):
+    """Names of any length, in running text without spaces too, against brute force."""
+    texts = [(1, "第十二届蓝桥杯全国软件大赛报名通知"), (2, "关于蓝桥杯"), (3, "xab"), (4, ""), (5, None), (6, "全国大学生数学建模竞赛获奖名单及数学建模"), (7, "a" * 30)]
+    some = ["蓝桥杯", "蓝桥杯全国软件大赛", "数学建模", "全国大学生数学建模竞赛", "ab", "b", "", "a" * 13, "a" * 31]
+    docs, names = spark.createDataFrame(texts, "id int, t string"), spark.createDataFrame([(n,) for n in some], "name string")
+    got = dict(map(tuple, longest_contained(docs, names, F.col("t"), "name").select("id", "match").collect()))
+    assert got == {i: max((n for n in some if n and n in (t or "")), key=lambda n: (len(n), n), default=None) for i, t in texts}
+    assert longest_contained(docs, names.limit(0), F.col("t"), "name").where("match is null").count() == len(texts)
+
+
+def test_best_title(spark):
+    rng = random.Random(3)
+    titles = [(i, " ".join(rng.choices("ab cd ef gh ij kl".split(), k=rng.randint(1, 5)))) for i in range(80)] + [(90, ""), (91, None), (92, "zz yy"), (93, "ZZ yy zz")]
+    got = {r["key"]: (r["item"], r["score"]) for r in best_title(spark.createDataFrame(titles, "key long, title string")).collect()}
+    words = {i: set(t.lower().split(" ")) for i, t in titles if t is not None}
+    want = {}
+    for i, a in words.items():
+        score, item = max((15 * len(a & b), -j) for j, b in words.items() if j != i)
+        if score >= 30:
+            want[i] = (-item, score)
+    assert got == want
+
+
+def test_numbered_splits_frequent_keys(spark):
+    rows = [(rng_key, i) for i in range(2000) for rng_key in [1 if i % 3 else 1000000 + i]]
+    df = spark.createDataFrame(rows, "key long, id long")
+    got = {(r["key"], r["id"]): r["n"] for r in numbered(df, ["key", "id"], "n").collect()}
+    assert got == {row: n for n, row in enumerate(sorted(rows), 1)}
+    assert numbered(df.limit(0), ["key", "id"], "n").count() == 0
+
+
 def test_csv_round_trip(spark):
     df = spark.createDataFrame([(1, 'quote " and\nbreak, comma'), (2, " spaces "), (3, "")], "k int, t string")
     write_csv(df, path := scratch(spark, "csv"))
