@@ -45,8 +45,8 @@ def longest_contained(docs: DataFrame, names: DataFrame, text: Column, name: str
     lengths = sorted(r[0] for r in keyed.select(F.length("_key")).distinct().collect())  # at most ``window`` numbers
     if not lengths:
         return docs.withColumn("match", F.lit(None).cast("string"))
-    parts = F.concat(*[F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))) for n in lengths])
-    hits = docs.select("id", F.explode(parts).alias("_key")).join(keyed, "_key").select("id", "_name")
+    parts = F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths])
+    hits = docs.select("id", F.explode(parts).alias("_key")).join(keyed, "_key").select("id", "_name").distinct()
     found = docs.select("id", text.alias("_text")).join(hits, "id").where(F.contains("_text", F.col("_name")))
     best = found.groupBy("id").agg(F.max_by("_name", F.struct(F.length("_name"), "_name")).alias("match"))
     return docs.join(best, "id", "left")
