@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, license_scan, line_dedup, mixing, near_dedup, packing, topk, toxicity, warc
+from . import alignment, exact_dedup, html_extract, license_scan, line_dedup, mixing, near_dedup, packing, secret_scan, spelling, topk, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_packing": packing.op8_packing,
         "op9_mixing": mixing.op9_mixing,
+        "op11_spelling": spelling.op11_spelling,
+        "op12_alignment": alignment.op12_alignment,
+        "op13_secret_scan": secret_scan.op13_secret_scan,
     }
 
 
