@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .sources import html, tables  # noqa: F401
 from .streaming import incremental  # noqa: F401
-from .operators import aggregates, blocks, classification, cycles, extraction, filters, joins, ranking, scalars, variants  # noqa: F401
+from .operators import aggregates, blocks, classification, cycles, deadlines, extraction, filters, joins, ranking, scalars, variants  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

@@ -101,3 +101,13 @@ def months(n: Column) -> Column:
 
 def any_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+def running_sums(numbers: Column) -> Column:
+    """Sums of an array's first 1, 2, ... elements, in blocks, so that long arrays aren't copied for each."""
+    block, none = 256, F.array().cast("array<int>")
+    state = lambda at, out: F.struct(at.cast("int").alias("at"), out.alias("out"))
+    inside = lambda b: F.aggregate(F.slice(numbers, b * block + 1, F.lit(block)), state(F.lit(0), none), lambda s, x: state(s["at"] + x, F.concat(s["out"], F.array((s["at"] + x).cast("int")))))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / block).cast("int")), inside)
+    offsets = F.aggregate(blocks, state(F.lit(0), none), lambda s, x: state(s["at"] + x["at"], F.concat(s["out"], F.array(s["at"]))), lambda s: s["out"])
+    return F.when(F.size(numbers) == 0, none).otherwise(F.flatten(F.zip_with(blocks, offsets, lambda b, o: F.transform(b["out"], lambda v: v + o))))
