@@ -12,8 +12,11 @@ one once per Python worker while it is remembered.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,8 @@ from .common import dropped, table, written
 
 #: Pairs (9 bytes each) whose counts may be sent to every task; those of more pairs are joined.
 SENT_PAIRS = 1 << 22
-#: Chunks that a Python worker remembers (some 600 bytes each), and the longest of them.
+#: Chunks that a Python worker remembers (some 500 bytes each), in two generations of so many, and
+#: the longest of them.
 REMEMBERED, LONGEST = 200_000, 64
 
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -34,135 +38,182 @@ _CHUNK = re.compile(rf"\s*(?:[{_L}]+(?![^ \n.,])|\S+(?:[^\S \n]\s*\S+)*(?:[^\S \
 ALIGNED = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 
 
-class Tokenizers:
-    """Ids and end offsets, in bytes, of chunks by both tokenizers."""
+def _byte_letters() -> dict[str, int]:
+    """The letter that byte-level vocabularies write each byte with: printable ones stand for
+    themselves, all others take the characters from U+0100 on in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
-    def __init__(self, byte_path: str, piece_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
-        from sentencepiece import SentencePieceProcessor
+
+class ByteTokenizer:
+    """Ids by a byte-level vocabulary file, and the bytes of each id.
+
+    A file whose merges make its ids in order, as they do where ids are ranks, is read by the faster
+    of two libraries; both give the same ids then, which a test compares.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(byte_path)
-        self.a.encode_special_tokens = True
-        self.b = SentencePieceProcessor(model_file=piece_path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
         byte_of = _byte_letters()
-        self.bytes_a = {i: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.line = self.b.encode("\n")  # the space that the tokenizer adds, and the byte
-        self.space = [self.b.piece_to_id("▁")]
-
-    def encode(self, chunks: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Both tokenizers' ids of each chunk. A chunk that doesn't start with a space gets a line end before
-        it, with which no piece of the second tokenizer is joined, and loses its two ids again."""
-        a = self.a.encode_batch_fast(chunks, add_special_tokens=False)
-        spaced = [c.startswith(" ") for c in chunks]
-        b = self.b.encode([c[1:] if s else "\n" + c for c, s in zip(chunks, spaced, strict=True)], num_threads=1)
-        for x, y, s in zip(a, b, spaced, strict=True):
-            yield x.ids, ((y or self.space) if s else y[len(self.line) :])
-
-    def ends(self, ids: list[int], of) -> list[int]:
-        out, at = [], 0
-        for i in ids:
-            at += len(of[i])
-            out.append(at)
-        return out
+        special = {i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes = {i: t.encode() if i in special else bytes(byte_of[c] for c in t) for t, i in vocabulary.items()}
+        model = json.loads(self.tokenizer.to_str())["model"]
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        self.fast = None
+        if all(vocabulary[x + y] == 256 + k for k, (x, y) in enumerate(pairs)):
+            import public_tokenizers
+            import tiktoken
+
+            ranks = {self.bytes[i]: i for i in vocabulary.values() if i not in special}
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> list[int]:
+        return self.fast.encode_ordinary(text) if self.fast else self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def encode_all(self, chunks: list[str]) -> list[int]:
+        """The ids of all chunks, one after the other. Chunks of a space and something else that ends in no
+        white space are cut there anyhow, so they are tokenized as one text."""
+        out, run = [], []
+        for c in chunks:
+            if c[0] == " " and not c[1:2].isspace() and len(c) > 1 and not c[-1].isspace():
+                run.append(c)
+                continue
+            if run:
+                out += self.encode("".join(run))
+                run = []
+            out += self.encode(c)
+        return out + self.encode("".join(run)) if run else out
 
-    def spells(self, ids: list[int], of, data: bytes) -> bool:
-        return b"".join([of[i] for i in ids]) == data
 
+class PieceTokenizer:
+    """Ids by a piece vocabulary file with byte pieces, and the bytes of each id."""
 
-def _byte_letters() -> dict[str, int]:
-    """The letter that byte-level vocabularies write each byte with: printable ones stand for
-    themselves, all others take the characters from U+0100 on in order."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
 
+        self.model = SentencePieceProcessor(model_file=path)
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.bytes = {i: bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)}
+        self.line, self.space = self.model.encode("\n"), [self.model.piece_to_id("▁")]
+
+    def encode_all(self, chunks: list[str]) -> list[int]:
+        """As above. The tokenizer adds a space to each chunk: one that starts with a space loses its own,
+        any other gets a line end first, with which no piece is joined, and loses both ids again."""
+        spaced = [c[0] == " " for c in chunks]
+        out = []
+        for ids, s in zip(self.model.encode([c[1:] if s else "\n" + c for c, s in zip(chunks, spaced, strict=True)], num_threads=1), spaced, strict=True):
+            out += (ids or self.space) if s else ids[len(self.line) :]
+        return out
 
-def align(a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]) -> list[tuple[list[int], list[int], list[tuple[int, int]]]]:
-    """Groups of ids between common ends, each with its links (pairs of ids, every overlap once).
+
+def ends(ids: list[int], of: dict[int, bytes]) -> list[int]:
+    """The byte offsets at which tokens end."""
+    return list(itertools.accumulate(map(len, map(of.__getitem__, ids))))
+
+
+def common_cuts(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int]]:
+    """The ends that both tokenizers have, in order, each with the numbers of tokens up to it.
 
     Ends are keys of one dictionary for each tokenizer, which gives the index of the token that
     ends there; the sorted common keys cut both lists of ids.
     """
-    index_a, index_b = ({e: i for i, e in enumerate(x)} for x in (ends_a, ends_b))
-    out, lo_a, lo_b = [], 0, 0
+    index_a, index_b = dict(zip(ends_a, range(1, len(ends_a) + 1), strict=True)), dict(zip(ends_b, range(1, len(ends_b) + 1), strict=True))
     for end in sorted(index_a.keys() & index_b.keys()):
-        hi_a, hi_b = index_a[end] + 1, index_b[end] + 1
-        group_a, group_b = a[lo_a:hi_a], b[lo_b:hi_b]
-        if len(group_a) == 1 or len(group_b) == 1:
-            links = [(x, y) for x in group_a for y in group_b]
-        else:
-            links, i, j = [], lo_a, lo_b
-            while i < hi_a and j < hi_b:
-                links.append((a[i], b[j]))
-                step = ends_a[i] - ends_b[j]
-                i, j = i + (step <= 0), j + (step >= 0)
-        out.append((group_a, group_b, links))
-        lo_a, lo_b = hi_a, hi_b
+        yield end, index_a[end], index_b[end]
+
+
+def links(a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]) -> list[int]:
+    """Sums of the ids of one group whose bytes overlap, every overlap once."""
+    if len(a) == 1 or len(b) == 1:
+        return [x + y for x in a for y in b]
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        out.append(a[i] + b[j])
+        step = ends_a[i] - ends_b[j]
+        i, j = i + (step <= 0), j + (step >= 0)
     return out
 
 
-def written_groups(groups) -> str:
-    return ";".join([f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b, _ in groups])
-
-
 class Aligner:
-    """Aligned texts, chunk by chunk; ``width`` is the number of ids of the second tokenizer."""
+    """Aligned texts, chunk by chunk; ``width`` is the number of ids of the second tokenizer.
+
+    What is known of a chunk: n_a, n_b, n_groups, its groups as text, its links as bytes; None where the
+    tokens of either tokenizer don't spell it.
+    """
 
     def __init__(self, byte_path: str, piece_path: str):
-        self.by = Tokenizers(byte_path, piece_path)
-        self.width = len(self.by.bytes_b)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
+        self.a, self.b = ByteTokenizer(byte_path), PieceTokenizer(piece_path)
+        self.width = len(self.b.bytes)
         self.known: dict[str, tuple | None] = {}
-
-    def aligned(self, data: bytes, a: list[int], b: list[int]) -> tuple | None:
-        """(n_a, n_b, n_groups, groups as text, links as bytes), or None where tokens don't spell the text."""
-        by = self.by
-        if not (by.spells(a, by.bytes_a, data) and by.spells(b, by.bytes_b, data)):
-            return None
-        groups = align(a, by.ends(a, by.bytes_a), b, by.ends(b, by.bytes_b))
-        pairs = np.array([x * self.width + y for _, _, links in groups for x, y in links], dtype="<i8")
-        return len(a), len(b), len(groups), written_groups(groups), pairs.tobytes()
+        self.older: dict[str, tuple | None] = {}
+
+    def aligned(self, chunks: list[str]) -> list[tuple | None]:
+        """Chunks as one text after the other, so that each offset is looked up once for all."""
+        a, b = self.a.encode_all(chunks), self.b.encode_all(chunks)
+        data = [c.encode() for c in chunks]
+        whole = b"".join(data)
+        if b"".join(map(self.a.bytes.__getitem__, a)) != whole or b"".join(map(self.b.bytes.__getitem__, b)) != whole:
+            return [None] if len(chunks) == 1 else [x for c in chunks for x in self.aligned([c])]
+        said_a, said_b, wide = list(map(str, a)), list(map(str, b)), [i * self.width for i in a]
+        ends_a, ends_b = ends(a, self.a.bytes), ends(b, self.b.bytes)
+        out, bounds = [], itertools.accumulate(map(len, data))
+        bound, from_a, from_b, lo_a, lo_b, groups, pairs = next(bounds), 0, 0, 0, 0, [], []
+        for end, hi_a, hi_b in common_cuts(ends_a, ends_b):
+            if hi_a - lo_a == 1 and hi_b - lo_b == 1:
+                groups.append(f"{said_a[lo_a]}|{said_b[lo_b]}")
+                pairs.append(wide[lo_a] + b[lo_b])
+            else:
+                groups.append(f"{','.join(said_a[lo_a:hi_a])}|{','.join(said_b[lo_b:hi_b])}")
+                pairs += links(wide[lo_a:hi_a], ends_a[lo_a:hi_a], b[lo_b:hi_b], ends_b[lo_b:hi_b])
+            lo_a, lo_b = hi_a, hi_b
+            if end >= bound:
+                if end > bound:  # a token across the end of a chunk
+                    return [None] if len(chunks) == 1 else [x for c in chunks for x in self.aligned([c])]
+                out.append((hi_a - from_a, hi_b - from_b, len(groups), ";".join(groups), array("q", pairs).tobytes()))
+                bound, from_a, from_b, groups, pairs = next(bounds, 0), hi_a, hi_b, [], []
+        return out
 
     def chunks(self, texts: list[str]) -> list[list[tuple | None]]:
         """Per text what is known of its chunks, in order."""
         cut = [_CHUNK.findall(t) for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({c for some in cut for c in some if c not in self.known})
-        own = self.known
-        long = {c for c in new if len(c) > LONGEST}
-        if long:
-            own = dict(self.known)
-        for at in range(0, len(new), 1000):
-            some = new[at : at + 1000]
-            for c, (a, b) in zip(some, self.by.encode(some), strict=True):
-                own[c] = self.aligned(c.encode(), a, b)
-                if c not in long:
-                    self.known[c] = own[c]
-        return [[own[c] for c in some] for some in cut]
+            self.known, self.older = {}, self.known
+        own, older = self.known, self.older
+        new = {c for some in cut for c in some if c not in own}
+        again = {c: older[c] for c in new if c in older}
+        own.update(again)
+        new = [c for c in new if c not in again]
+        short = [c for c in new if len(c) <= LONGEST]
+        for at in range(0, len(short), 2000):
+            some = short[at : at + 2000]
+            own.update(zip(some, self.aligned(some), strict=True))
+        long = {c: self.aligned([c])[0] for c in new if len(c) > LONGEST}
+        return [[own[c] if c in own else long[c] for c in some] for some in cut] if long else [list(map(own.__getitem__, some)) for some in cut]
 
     def whole(self, text: str) -> tuple | None:
         """The same for a text as one chunk."""
-        (a, b), = self.by.encode([text])
-        return self.aligned(text.encode(), a, b)
+        return self.aligned([text])[0]
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple]:
         """A row of ``ALIGNED`` for each text; null, empty and misspelt ones have no tokens."""
         none = (0, 0, 0, 0, "", [], [])
         known = iter(self.chunks([" " + t for t in texts if t]))
         for t in texts:
-            if not t:
-                yield none
-                continue
-            parts = next(known)
-            if any(p is None for p in parts) and None in (parts := [self.whole(" " + t)]):
+            parts = next(known) if t else [None]
+            if t and None in parts:
+                parts = [self.whole(" " + t)]
+            if None in parts:
                 yield none
                 continue
-            pairs, times = np.unique(np.frombuffer(b"".join([p[4] for p in parts]), dtype="<i8"), return_counts=True)
-            digest = hashlib.sha256(";".join([p[3] for p in parts]).encode()).hexdigest()
-            yield sum([p[0] for p in parts]), sum([p[1] for p in parts]), sum([p[2] for p in parts]), int(times.sum()), digest, pairs, times.astype(np.int32)
+            n_a, n_b, n_groups, said, links = zip(*parts, strict=True)
+            pairs, times = np.unique(np.frombuffer(b"".join(links), dtype=np.int64), return_counts=True)
+            yield sum(n_a), sum(n_b), sum(n_groups), int(times.sum()), hashlib.sha256(";".join(said).encode()).hexdigest(), pairs, times.astype(np.int32)
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
