@@ -7,7 +7,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,6 +126,44 @@ def decoded(raw: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else one(bytes(x)) for x in raw], dtype=object)
 
 
+#: Words that right decodings of notices hold.
+DOMAIN_WORDS = ("新闻", "传播", "学院", "通知", "公告", "学生", "关于", "工作", "活动")
+
+
+def best_decoding(raw: Column, encodings: list[str], words=DOMAIN_WORDS) -> Column:
+    """struct(encoding, text) of the decoding with the most domain words, then the most Chinese characters, then
+    the fewest replacements, then the first in the list (A2, J19). Null bytes stay null.
+
+    Python only decodes, with U+FFFD for what doesn't fit; the choice is an expression.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def every(raws: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else [bytes(x).decode(e, "replace") for e in encodings] for x in raws], dtype=object)
+
+    def judged(t, i):
+        hits = sum(((F.length(t) - F.length(F.replace(t, F.lit(w), F.lit("")))) / len(w) for w in words), F.lit(0.0))
+        chinese = F.length(t) - F.length(F.regexp_replace(t, "[\\x{4e00}-\\x{9fff}]", ""))
+        lost = F.length(F.regexp_replace(t, "[^\\x{fffd}]", ""))
+        return F.struct(hits.alias("hits"), chinese.alias("chinese"), (-lost).alias("lost"), (-i).alias("at"), t.alias("text"))
+
+    best = F.transform(F.array(every(raw)), lambda ts: F.array_max(F.transform(ts, judged)))
+    return F.element_at(F.transform(best, lambda b: F.when(b["text"].isNotNull(), F.struct(F.element_at(F.array(*map(F.lit, encodings)), 1 - b["at"]).alias("encoding"), b["text"].alias("text")))), 1)
+
+
+@query(
+    "A02_best_decoding",
+    r"""WITH t AS (SELECT doc_id, lang, regexp_replace(text, '[^\x00-\xff]', '', 'g') AS t FROM documents)
+        SELECT doc_id, CASE WHEN lang IN ('fr', 'es') AND regexp_matches(t, '[^\x00-\x7f]') THEN 'latin-1' ELSE 'utf-8' END AS encoding, sha256(t) AS text_sha256 FROM t""",
+)
+def best_decoding_query(spark, d):
+    """Documents of two languages as Latin-1 bytes, the others as UTF-8: each comes back right."""
+    text = F.regexp_replace("text", r"[^\x00-\xff]", "")
+    raw = F.when(F.col("lang").isin("fr", "es"), F.encode(text, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))
+    found = table(spark, d, "documents").select("doc_id", best_decoding(raw, ["utf-8", "latin-1"], ("license",)).alias("b"))
+    return found.select("doc_id", "b.encoding", F.sha2("b.text", 256).alias("text_sha256"))
+
+
 def list_items(pages: DataFrame) -> DataFrame:
     """Links of list elements: page_id, at, href, title; those without a target go (A4)."""
     found = F.regexp_extract_all("html", F.lit('<li><a href="([^"]+)">[^<]*</a></li>'), F.lit(1))
