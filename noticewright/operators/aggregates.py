@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_any, hits, runs
+from ..functions.text import SEPARATORS, contains_any, hits, runs
 from ..plans.views import ACTIONS_SQL, NOTICES_SQL, actions, notices, table
 from ..registry import query
 from .joins import first_per
@@ -122,20 +122,29 @@ def decayed_weights(acts: DataFrame, by: list[str], as_of: str, last: int = 300)
 @query(
     "F18_decayed_weights",
     f"""WITH {ACTIONS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM actions)
-        SELECT user_id, round(sum(CASE action WHEN 'favorite' THEN 2.2 WHEN 'useful' THEN 1.6 WHEN 'view' THEN 0.8 ELSE 0.5 END * exp(-greatest(1, date_diff('day', CAST(ts AS DATE), DATE '2024-02-01')) / 30.0)), 6) AS weight FROM r WHERE rn <= 40 GROUP BY user_id""",
+        SELECT user_id, round(sum(CASE action WHEN 'favorite' THEN 2.2 WHEN 'useful' THEN 1.6 WHEN 'view' THEN 0.8 ELSE 0.5 END * exp(-greatest(1, date_diff('day', CAST(ts AS DATE), DATE '2024-02-01')) / 30.0)), 6) AS weight FROM r WHERE rn <= 300 GROUP BY user_id""",
 )
 def decayed_weights_query(spark, d):
-    return decayed_weights(actions(spark, d), ["user_id"], "2024-02-01", last=40)
+    """Over the last 300 actions, as surveyed."""
+    return decayed_weights(actions(spark, d), ["user_id"], "2024-02-01")
 
 
 @query(
-    "F18_decayed_weights_300",
-    f"""WITH {ACTIONS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM actions)
-        SELECT user_id, round(sum(CASE action WHEN 'favorite' THEN 2.2 WHEN 'useful' THEN 1.6 WHEN 'view' THEN 0.8 ELSE 0.5 END * exp(-greatest(1, date_diff('day', CAST(ts AS DATE), DATE '2024-02-01')) / 30.0)), 6) AS weight FROM r WHERE rn <= 300 GROUP BY user_id""",
+    "F16_weights_of_words",
+    f"""WITH {ACTIONS_SQL}, {NOTICES_SQL}, t AS (SELECT id, source, spider, list_filter(string_split_regex(lower(title), '[\\s,，。；;、]+')[1:40], lambda x: length(x) BETWEEN 2 AND 12) AS words FROM notices),
+        k AS (SELECT id, unnest(list_transform(words, lambda w: {{'kind': 'token', 'word': w}}) || [{{'kind': 'tag', 'word': source}}, {{'kind': 'category', 'word': spider}}], recursive := true) FROM t)
+        SELECT user_id, kind, word, CAST(sum(CASE WHEN action = 'other' THEN -1 ELSE 1 END) AS BIGINT) AS weight FROM actions JOIN k ON k.id = item WHERE word IS NOT NULL GROUP BY ALL""",
 )
-def decayed_weights_whole(spark, d):
-    """Over the last 300 actions, as surveyed; the query above is the same over 40."""
-    return decayed_weights(actions(spark, d), ["user_id"], "2024-02-01")
+def token_weights(spark, d):
+    """Feedback of +1 or -1 summed by user over a notice's tag, category and the first forty tokens of its
+    title, those of 2 to 12 letters (F16, F17). Actions are summed by user and notice before they
+    meet the words."""
+    words = F.filter(F.slice(F.split(F.lower("title"), SEPARATORS), 1, 40), lambda x: F.length(x).between(2, 12))
+    said = lambda kind, w: F.struct(F.lit(kind).alias("kind"), w.alias("word"))
+    every = F.concat(F.transform(words, lambda w: said("token", w)), F.array(said("tag", F.col("source")), said("category", F.col("spider"))))
+    known = notices(spark, d).select("id", F.explode(every).alias("k")).select("id", "k.kind", "k.word").where("word is not null")
+    acts = actions(spark, d).groupBy("user_id", "item").agg(F.sum(F.when(F.col("action") == "other", -1).otherwise(1)).alias("delta"))
+    return acts.join(known, F.col("item") == F.col("id")).groupBy("user_id", "kind", "word").agg(F.sum("delta").alias("weight"))
 
 
 @query("F20_keyword_hits", "SELECT doc_id, len(list_filter(['the', 'und', 'que', 'les', 'http'], lambda k: contains(text, k))) AS hits FROM documents")
@@ -148,11 +157,10 @@ def weight_range(spark, d):
     return table(spark, d, "documents").agg(F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.count_if(F.col("n_chars") > 1000).alias("large"))
 
 
-@query("F23_distinct_in_order", "SELECT conv_id, turn, list_transform(list_distinct(list_transform(regexp_extract_all(text, '[a-z]{5}'), lambda x: x)), lambda x: x) IS NOT NULL AS any_run, len(list_distinct(regexp_extract_all(text, '[a-z]{5}'))) AS n FROM conversations")
+@query("F23_distinct_in_order", "WITH f AS (SELECT conv_id, turn, regexp_extract_all(text, '[a-z]{5}') AS l FROM conversations) SELECT conv_id, turn, list_filter(l, lambda x, i: list_position(l, x) = i) AS runs FROM f")
 def distinct_in_order(spark, d):
-    """Order-preserving distinct values of a text."""
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{5}"), F.lit(0)))
-    return table(spark, d, "conversations").select("conv_id", "turn", found.isNotNull().alias("any_run"), F.size(found).cast("long").alias("n"))
+    """Distinct values of a text in the order of their first places."""
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{5}"), F.lit(0))).alias("runs"))
 
 
 # -- Windows -----------------------------------------------------------------------------------------

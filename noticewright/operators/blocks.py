@@ -178,8 +178,3 @@ def award_blocks(spark, d):
     force and notices in tests."""
     found = table(spark, d, "documents").select("doc_id", blocks(F.col("text")).alias("b"))
     return found.select("doc_id", award_text(F.col("b")).alias("awards"), F.coalesce("b.participants", F.lit(EVERYONE)).alias("participants"))
-
-
-@query("K38_label_and_lines", "SELECT doc_id, nullif(trim(regexp_extract(text, '^([^\\n]*(?:\\n[^\\n]+){0,2})', 1)), '') AS head FROM documents")
-def label_and_lines(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.nullif(F.trim(F.regexp_extract("text", r"^([^\n]*(?:\n[^\n]+){0,2})", 1)), F.lit("")).alias("head"))

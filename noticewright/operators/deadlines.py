@@ -19,6 +19,8 @@ from ..functions.dates import completed_date
 from ..functions.text import running_sums
 from ..plans.views import table
 from ..registry import query
+from .blocks import with_following
+from .extraction import labelled
 
 #: Characters of a mention's surroundings that rules may look at.
 AROUND = 200
@@ -473,3 +475,27 @@ def date_program(spark, d):
     take space, so the notices are dealt to more tasks than their size asks for."""
     notices = order_notices(spark, d).repartition(4 * spark.sparkContext.defaultParallelism, "id")
     return with_notice_date(notices).select("id", "when.kind", "when.date", "when.stage")
+
+
+_NOTICES = deadline_sql().split("f AS (SELECT")[0].rstrip().rstrip(",")
+
+
+@query(
+    "K34_label_block",
+    _NOTICES + r""" SELECT id, nullif(trim(regexp_extract(text, '(?:活动时间|报名时间|征集截止日期)\s*[:：]\s*([^\n]{1,200}?)(?:\s*(?:决赛时间|报名截止|开放时间)\s*[:：]|\n|$)', 1)), '') AS value FROM t""",
+)
+def label_block(spark, d):
+    """What follows a label in every order's notice, to the next label or the end of its line."""
+    return order_notices(spark, d).select("id", labelled(F.col("text"), ["活动时间", "报名时间", "征集截止日期"], ["决赛时间", "报名截止", "开放时间"]).alias("value"))
+
+
+@query(
+    "K38_label_and_lines",
+    _NOTICES + r""", u AS (SELECT id, string_split(regexp_extract(regexp_replace(text, '。', chr(10), 'g'), '(?:活动时间|征集截止日期|出生日期)\s*[:：]([^\n]*(?:\n[^\n]+){0,2})', 1), chr(10)) AS l, regexp_matches(text, '(?:活动时间|征集截止日期|出生日期)\s*[:：]') AS hit FROM t),
+        v AS (SELECT *, len(l) > 1 AND NOT regexp_matches(l[2], '^[^\n:：]{1,12}[:：]') AS two, len(l) > 2 AND NOT regexp_matches(l[3], '^[^\n:：]{1,12}[:：]') AS three FROM u)
+        SELECT id, nullif(trim(CASE WHEN hit THEN l[1] || CASE WHEN two THEN chr(10) || l[2] || CASE WHEN three THEN chr(10) || l[3] ELSE '' END ELSE '' END END), '') AS head FROM v""",
+)
+def label_and_lines(spark, d):
+    """The rest of a label's line and what follows it without a label; sentences are lines here."""
+    text = F.replace("text", F.lit("。"), F.lit("\n"))
+    return order_notices(spark, d).select("id", with_following(text, "(?:活动时间|征集截止日期|出生日期)").alias("head"))

@@ -144,11 +144,6 @@ def tags_query(spark, d):
     return table(spark, d, "documents").select("doc_id", tags(F.col("text")).alias("tags"))
 
 
-@query("K34_label_block", "SELECT page_id, nullif(trim(regexp_extract(html, '<title>([^<]{1,40})', 1)), '') AS label FROM pages")
-def label_block(spark, d):
-    return table(spark, d, "pages").select("page_id", F.nullif(F.trim(F.regexp_extract("html", "<title>([^<]{1,40})", 1)), F.lit("")).alias("label"))
-
-
 @query("K42_intent", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'why|warum|pourquoi') THEN 'explain' WHEN regexp_matches(lower(text), 'plan|step') THEN 'plan' WHEN regexp_matches(lower(text), 'list|all|und') THEN 'list' WHEN regexp_matches(lower(text), 'how|\\?|wie') THEN 'faq' ELSE 'recommend' END AS intent FROM conversations WHERE role = 'user'")
 def intent_query(spark, d):
     """Intent of user messages."""

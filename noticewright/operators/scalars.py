@@ -159,10 +159,10 @@ def title_similarity_query(spark, d):
     return table(spark, d, "part").select("p_partkey", title_similarity(F.lower("p_name"), F.lower("p_type")).cast("long").alias("score"))
 
 
-@query("J37_year_tokens", "SELECT page_id, list_distinct(regexp_extract_all(url, '[0-9]{3}')) IS NOT NULL AS ok, len(regexp_extract_all(url, '[0-9]{3}')) AS n FROM pages")
+@query("J37_year_tokens", "WITH f AS (SELECT doc_id, regexp_extract_all(text, '20[0-9]{2}') AS l FROM documents) SELECT doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS years FROM f")
 def year_tokens(spark, d):
-    found = F.regexp_extract_all("url", F.lit("[0-9]{3}"), F.lit(0))
-    return table(spark, d, "pages").select("page_id", found.isNotNull().alias("ok"), F.size(found).cast("long").alias("n"))
+    """Years that a text names, each once."""
+    return table(spark, d, "documents").select("doc_id", F.array_distinct(F.regexp_extract_all("text", F.lit("20[0-9]{2}"), F.lit(0))).alias("years"))
 
 
 @query("J38_fallback_chain", "SELECT page_id, coalesce(nullif(regexp_extract(html, '<h1>([^<]*)</h1>', 1), ''), nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), 'none') AS title FROM pages")

@@ -260,10 +260,13 @@ def iso_date_in_text(spark, d):
     return table(spark, d, "documents").select("doc_id", dates.ambiguous_iso(F.col("text")).alias("iso"))
 
 
-@query("J03_loose_title", f"""WITH {NOTICES_SQL} SELECT id, lower(regexp_replace(title, '[\\s,.;:!?"''()\\[\\]，。；：！？、“”‘’（）【】《》\\-]+', '', 'g')) AS loose FROM notices WHERE NOT regexp_matches(title, '[\\x{{85}}\\x{{a0}}\\x{{2000}}-\\x{{3000}}]')""")
+#: Java's Unicode white space as RE2 writes it.
+_WHITE = r"\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+@query("J03_loose_title", f"""WITH {NOTICES_SQL} SELECT id, lower(regexp_replace(title, '[{_WHITE},.;:!?"''()\\[\\]，。；：！？、“”‘’（）【】《》\\-]+', '', 'g')) AS loose FROM notices""")
 def loose_title(spark, d):
-    rows = notices(spark, d).where(~F.col("title").rlike(r"[\x85\xa0 -　]"))
-    return rows.select("id", without_punctuation(F.col("title")).alias("loose"))
+    return notices(spark, d).select("id", without_punctuation(F.col("title")).alias("loose"))
 
 
 @query("J33_deadline_score", f"WITH {_DEADLINE_SQL}, x AS (SELECT id, date_diff('day', DATE '{AS_OF}', deadline) AS days FROM n) SELECT id, CASE WHEN days IS NULL THEN 0.5 WHEN days < 0 THEN 0 WHEN days <= 7 THEN 1.2 WHEN days <= 30 THEN 1.0 ELSE 0.5 END::DOUBLE AS score FROM x")
@@ -272,9 +275,9 @@ def deadline_score(spark, d):
     return _with_deadline(notices(spark, d)).select("id", dates.deadline_score(days, F.col("deadline").isNotNull()).alias("score"))
 
 
-@query("J05_bare_title", f"WITH {NOTICES_SQL} SELECT id, regexp_replace(translate(title, '（）【】〔〕', '()[][]'), '[\\s\"“”''《》]+', '', 'g') AS bare FROM notices WHERE NOT regexp_matches(title, '[\\x{{85}}\\x{{a0}}\\x{{2000}}-\\x{{3000}}]')")
+@query("J05_bare_title", f"WITH {NOTICES_SQL} SELECT id, regexp_replace(translate(title, '（）【】〔〕', '()[][]'), '[{_WHITE}\"“”''《》]+', '', 'g') AS bare FROM notices")
 def bare_title(spark, d):
-    return notices(spark, d).where(~F.col("title").rlike(r"[\x85\xa0 -　]")).select("id", folded_title(F.col("title")).alias("bare"))
+    return notices(spark, d).select("id", folded_title(F.col("title")).alias("bare"))
 
 
 @query("C09_listed_fields", "SELECT c_custkey, list_filter(list_transform(string_split(c_name || ', ' || c_mktsegment, ','), lambda x: trim(x)), lambda x: x <> '') AS items FROM customer")

@@ -133,4 +133,4 @@ def test_decayed_weights_take_300_actions(spark, sf):
     counts = {r["user_id"]: r["count"] for r in acts.groupBy("user_id").count().collect()}
     assert 40 < max(counts.values()) <= 300
     whole = {r["user_id"]: r["weight"] for r in decayed_weights(acts, ["user_id"], "2024-02-01", last=10**9).collect()}
-    assert {r["user_id"]: r["weight"] for r in catalog.queries()["F18_decayed_weights_300"](spark, sf).collect()} == pytest.approx(whole, abs=2e-6)
+    assert {r["user_id"]: r["weight"] for r in catalog.queries()["F18_decayed_weights"](spark, sf).collect()} == pytest.approx(whole, abs=2e-6)
