@@ -30,7 +30,7 @@ from .common import dropped, table, written
 SENT_PAIRS = 1 << 22
 #: Chunks that a Python worker remembers (some 500 bytes each), in two generations of so many, and
 #: the longest of them.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 60_000, 64
 
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _CHUNK = re.compile(rf"\s*(?:[{_L}]+(?![^ \n.,])|\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*$)?)|\s+$")
@@ -71,6 +71,7 @@ class ByteTokenizer:
 
             ranks = {self.bytes[i]: i for i in vocabulary.values() if i not in special}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.tokenizer = None  # some 60 MB
 
     def encode(self, text: str) -> list[int]:
         return self.fast.encode_ordinary(text) if self.fast else self.tokenizer.encode(text, add_special_tokens=False).ids
