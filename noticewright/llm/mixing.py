@@ -84,8 +84,9 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, source, size, source_size, target, copies, taken: one row per row of ``docs``.
 
     A null text has size 0; null is a source of its own, the last in order. An empty table gives an
-    empty result; repeated rows are rounded one by one. Chance is a hash of ids and ``seed``, so
-    reruns agree. No document is taken more than twice.
+    empty result; repeated rows are rounded one by one, each dealt to a node of its own number. Chance
+    is a hash of ids and ``seed``, so reruns agree. No document is taken more than twice. Further
+    columns are ignored, whatever their names, and texts are counted whole, however long.
 
     A node of the tree has at most about 256 children, whatever a source holds, and a level leaves
     one fraction per node: three levels do for 16 million documents of a source, five for 10^12.
@@ -98,7 +99,10 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     open_ = (F.col("size") > 0) & (F.col("p") > 0)
     settled = [rated.where(~open_).select("sid", F.col("doc_id").alias("id"), "size", F.lit(0).alias("take"))]
     nodes = F.ceil(F.col("n") / FAN)
-    items = rated.where(open_).select("sid", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), nodes).alias("node"), F.struct("size", F.col("doc_id").alias("id"), "p").alias("item"))
+    # Rows of one id and size are counted and dealt out one by one, so that no node gets them all.
+    alike = rated.where(open_).groupBy("sid", "doc_id", "size", "p", "n").agg(F.count(F.lit(1)).alias("alike"))
+    each = alike.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("alike"))))
+    items = each.select("sid", F.pmod(F.xxhash64("doc_id", "size", "nth", F.lit(seed)), nodes).alias("node"), F.struct("size", F.col("doc_id").alias("id"), "p").alias("item"))
     width, level = -(-most // FAN), 0
     while True:
         level += 1

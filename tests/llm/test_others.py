@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+import time
 import zlib
 
 import numpy as np
@@ -280,6 +281,19 @@ def test_mixing(spark):
     assert mixing.mixing_plan(df.limit(0)).count() == 0
 
 
+def test_mixing_many_equal_rows(spark):
+    """Equal rows, and rows without an id, are dealt over the tree; the time is in proportion to their number."""
+    same = spark.range(200_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    none = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b").alias("text"), F.lit("t").alias("source"))
+    began = time.time()
+    plan = mixing.mixing_plan(same.unionByName(none)).groupBy("source").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("copies").alias("most")).collect()
+    assert time.time() - began < 60
+    got = {r["source"]: r for r in plan}
+    want = fill({"s": 600_000, "t": 40_000})
+    assert {s: r["n"] for s, r in got.items()} == {"s": 200_000, "t": 20_000} and max(r["most"] for r in plan) <= 2
+    assert all(abs(r["taken"] - want[s]) <= 3 and r["target"] == pytest.approx(want[s]) for s, r in got.items())
+
+
 def test_mixing_without_broadcast(spark, monkeypatch):
     df = frame(spark, [(i, "a b c d", f"s{i % 7}" if i % 11 else None) for i in range(300)], "doc_id long, text string, source string")
     key = ["doc_id", "copies"]
