@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .sources import html, tables  # noqa: F401
+from .sources import html, tables, versions  # noqa: F401
 from .streaming import incremental, reminders  # noqa: F401
 from .operators import aggregates, blocks, classification, cycles, deadlines, extraction, filters, joins, messages, organizers, ranking, scalars, variants  # noqa: F401
 from .registry import ORACLES, QUERIES

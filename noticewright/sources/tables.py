@@ -14,9 +14,12 @@ from ..registry import query
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``)."""
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``). Without that setting a
+    temporary folder serves executors that are the driver's own threads; a cluster is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not (master := spark.sparkContext.master).startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="noticewright-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
