@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op4_exact_topk": topk.SQL, "op6_warc": warc.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op4_exact_topk": topk.SQL, "op6_warc": warc.SQL, "op11_spelling": spelling.SQL, "op13_secret_scan": secret_scan.SQL}

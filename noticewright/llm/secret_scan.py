@@ -211,3 +211,48 @@ def model_of(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 def op13_secret_scan(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return scan(docs, model_of(docs))
+
+
+def _sql() -> str:
+    """The same in SQL: counts of transitions, the table of ratios, and spans by running sums."""
+    either = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+    words = "|".join([either("password"), either("passwd"), either("secret"), either("token"), either("api") + "_?" + either("key")])
+    assign = f"""({words})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    patterns = [("assign", assign), ("access", BASE["access"]), ("hex", "[0-9a-f]{32,}"), (ADDED, "[A-Za-z0-9+/_=-]{16,}")]
+    joins = [("lst", "upper(fst)"), ("''", "upper(fst)"), ("''", "'/'"), ("upper(lst)", "'_'"), ("'_'", "upper(fst)")]
+    joins += [pair for c in "_-/" for pair in (("lst", f"'{c}'"), (f"'{c}'", "fst"))]
+    n, marks = RANDOM_STRINGS, ", ".join(f"'{c}'" for c in LETTERS[62:])
+    spans = " UNION ALL ".join(
+        f"""SELECT r, {k} AS rank, '{name}' AS kind, unnest(list_transform(range(1, len(f) + 1), lambda i: {{'s': list_sum(list_transform(g[1:i], lambda v: length(v))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda v: length(v))), 0), 'v': f[i]}}), recursive := true)
+            FROM (SELECT r, regexp_extract_all(t, '{p}') AS f, string_split_regex(t, '{p}') AS g FROM d)"""
+        for k, (name, p) in enumerate(patterns)
+    )
+    listed = lambda where: f"coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank){where}, '')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
+ordinary AS (SELECT DISTINCT v FROM (SELECT unnest(regexp_extract_all(t, '[A-Za-z0-9+/_=-]{{8,}}')) AS v FROM d) WHERE regexp_matches(v, '{ORDINARY}')),
+digests AS (SELECT sha256('sample ' || i) AS h, to_base64(unhex(sha256('sample ' || i))) AS b FROM range({n}) x(i)),
+samples AS (SELECT 0 AS label, v FROM ordinary UNION ALL SELECT 1, unnest([h, upper(h), b, translate(b, '+/=', ''), upper(translate(b, '+/=', ''))]) FROM digests),
+steps AS (SELECT label, v, unnest(range(1, length(v) + 1)) AS pos FROM samples),
+pairs AS (SELECT label, CASE WHEN pos > 1 THEN substr(v, pos - 1, 1) ELSE '' END AS a, substr(v, pos, 1) AS b, pos = 2 AND regexp_matches(v, '{WORD}') AS scnd, count(*) AS n FROM steps GROUP BY ALL),
+ends AS (SELECT lower(left(v, 1)) AS fst, lower(right(v, 1)) AS lst, count(*) AS n FROM ordinary WHERE regexp_matches(v, '{WORD}') GROUP BY ALL),
+letters AS (SELECT * FROM pairs WHERE label = 0 AND regexp_matches(a, '{WORD}') AND regexp_matches(b, '{WORD}')),
+marks AS (SELECT unnest([{marks}]) AS c), digits AS (SELECT CAST(i AS VARCHAR) AS c FROM range(10) x(i)),
+counts AS (SELECT label, a, b, n FROM pairs UNION ALL SELECT 0, upper(a), upper(b), n FROM letters UNION ALL SELECT 0, upper(a), lower(b), n FROM letters WHERE scnd
+  {' '.join(f'UNION ALL SELECT 0, {x}, {y}, n FROM ends' for x, y in joins)}
+  UNION ALL SELECT 0, '', c, {n} FROM marks UNION ALL SELECT 0, c, c, {63 * n} FROM marks UNION ALL SELECT 0, '', c, {n // 10} FROM digits UNION ALL SELECT 0, x.c, y.c, {63 * n // 100} FROM digits x, digits y),
+alphabet AS (SELECT unnest(string_split('{LETTERS}', '')) AS c), places AS (SELECT c FROM alphabet UNION ALL SELECT ''),
+grid AS (SELECT l.label, p.c AS a, q.c AS b FROM (SELECT unnest([0, 1]) AS label) l, places p, alphabet q),
+seen AS (SELECT g.label, g.a, g.b, 1 + coalesce(sum(c.n), 0) AS n FROM grid g LEFT JOIN counts c ON c.label = g.label AND c.a = g.a AND c.b = g.b GROUP BY ALL),
+shares AS (SELECT label, a, b, ln(n / sum(n) OVER (PARTITION BY label, a)) AS s FROM seen),
+cells AS (SELECT x.a, x.b, floor(1000 * (x.s - y.s) + 0.5) AS m FROM shares x JOIN shares y ON x.a = y.a AND x.b = y.b WHERE x.label = 1 AND y.label = 0),
+spans AS (SELECT r, rank, kind, s, v, s + length(v) AS e FROM ({spans}) WHERE rank > 0 OR length(regexp_extract(v, '{assign}', 2)) >= {LEAST_VALUE}),
+runs AS (SELECT DISTINCT v FROM spans WHERE rank = 3), chars AS (SELECT v, unnest(range(1, length(v) + 1)) AS i FROM runs),
+scores AS (SELECT v, sum(m) AS m FROM chars JOIN cells ON a = CASE WHEN i > 1 THEN substr(v, i - 1, 1) ELSE '' END AND b = substr(v, i, 1) GROUP BY v),
+kept AS (SELECT * FROM spans WHERE rank < 3 UNION ALL SELECT c.* FROM spans c JOIN scores USING (v) WHERE rank = 3 AND m >= {LEAST_RATIO} AND NOT EXISTS (SELECT 1 FROM spans b WHERE b.rank < 3 AND b.r = c.r AND b.s < c.e AND c.s < b.e)),
+texts AS (SELECT r, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, _ in patterns)}, {listed(' FILTER (rank < 3)')} AS base, {listed('')} AS spans FROM kept GROUP BY r)
+SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k, _ in patterns)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN texts USING (r)
+"""
+
+
+SQL = _sql()

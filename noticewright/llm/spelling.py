@@ -163,3 +163,21 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def op11_spelling(spark, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+#: Checksums by a table made from its rule; near words by what is left when one character goes.
+SQL = f"""
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS t),
+runs AS (SELECT id, run, count(*) AS n FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[{LETTERS}]{{{LEAST_LENGTH},}}')) AS run FROM documents) GROUP BY ALL),
+bytes AS (SELECT run, n, hex(encode(id || ':' || run)) AS x FROM runs),
+sums AS (SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+words AS (SELECT CASE WHEN h % {ERROR} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n) AS n FROM sums GROUP BY 1),
+w AS (SELECT word, CAST(n AS BIGINT) AS n FROM words WHERE length(word) >= {LEAST_LENGTH} AND n >= {LEAST_COUNT}),
+cut AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+less AS (SELECT DISTINCT c.word, c.n, w.word AS near, w.n AS near_n FROM cut c JOIN w ON w.word = c.rest),
+near AS (SELECT * FROM less UNION SELECT near, near_n, word, n FROM less UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS form, max(near_n) AS form_n FROM near GROUP BY word),
+forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= {TIMES} * n THEN form END AS form, CASE WHEN form_n >= {TIMES} * n THEN form_n END AS form_n FROM w LEFT JOIN best USING (word)),
+up AS (WITH RECURSIVE u AS (SELECT word, word AS root FROM forms UNION ALL SELECT u.word, f.form FROM u JOIN forms f ON f.word = u.root WHERE f.form IS NOT NULL) SELECT u.word, u.root FROM u JOIN forms f ON f.word = u.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN up USING (word)
+"""
