@@ -191,7 +191,7 @@ LATIN_VETO = [("title", "eserved", "", False), ("title", "^The.*of", "icense", T
           WHEN regexp_matches(t, '(th|der).*(meeting|ung)') AND NOT regexp_matches(t, 'quelle|ción') THEN true WHEN regexp_matches(content, 'eleased under') THEN true ELSE false END AS vetoed FROM n""",
 )
 def veto_query(spark, d):
-    """Ordered keep and reject rules."""
+    """Ordered keep and reject rules (L2, L3)."""
     return notices(spark, d).select("id", vetoed(F.col("title"), F.col("content"), LATIN_VETO, ["quelle", "ción"]).alias("vetoed"))
 
 
@@ -226,7 +226,7 @@ def naive_bayes(spark, d):
 
 @query("L16_rule_level", "SELECT p_partkey, CASE WHEN regexp_matches(p_type, 'STEEL|BRASS') THEN 'high' WHEN regexp_matches(p_type, 'COPPER') THEN 'mid' WHEN regexp_matches(p_type, 'TIN') THEN 'low' ELSE 'unknown' END AS level FROM part")
 def rule_level(spark, d):
-    """Level from a table of patterns, the first that fits."""
+    """Level from a table of patterns, the first that fits."""
     out = F.lit("unknown")
     for level, pattern in (("low", "TIN"), ("mid", "COPPER"), ("high", "STEEL|BRASS")):
         out = F.when(F.col("p_type").rlike(pattern), level).otherwise(out)

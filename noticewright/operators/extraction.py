@@ -146,7 +146,7 @@ def tags_query(spark, d):
 
 @query("K42_intent", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'why|warum|pourquoi') THEN 'explain' WHEN regexp_matches(lower(text), 'plan|step') THEN 'plan' WHEN regexp_matches(lower(text), 'list|all|und') THEN 'list' WHEN regexp_matches(lower(text), 'how|\\?|wie') THEN 'faq' ELSE 'recommend' END AS intent FROM conversations WHERE role = 'user'")
 def intent_query(spark, d):
-    """Intent of user messages."""
+    """Intent of user messages."""
     return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", intent(F.col("text")).alias("intent"))
 
 

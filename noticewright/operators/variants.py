@@ -160,8 +160,8 @@ PRONOUNS = ["er", "he", "her", "his", "it", "its", "she", "that", "they", "this"
 
 
 def commonest_tokens(df: DataFrame, id_col: str, text, k: int, stop: list[str], shortest: int = 2) -> DataFrame:
-    """The ``k`` commonest tokens of each text, ties by token (F13b to F13d). A text's tokens stand in
-    one row, so that they are counted before anything is shuffled."""
+    """The ``k`` commonest tokens of each text, ties by token (F13b to F13d). Tokens are
+    counted by task before they are shuffled by text and token."""
     token = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda x: (F.length(x) >= shortest) & ~x.isin(stop))
     counts = df.select(F.col(id_col), F.explode(token).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("n"), "token"))

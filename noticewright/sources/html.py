@@ -200,5 +200,5 @@ def detail_fields(spark, d):
 
 @query("K01_block_text")
 def block_text_query(spark, d):
-    """Article text in blocks (K1 to K9). Parsing has no SQL form; tests hold it against fixtures."""
+    """Article text in blocks (K1 to K6, K8). Parsing has no SQL form; tests hold it against fixtures."""
     return table(spark, d, "pages").withColumn("p", page_text("html", "url")).select("page_id", "p.text", F.size("p.links").alias("links"))
