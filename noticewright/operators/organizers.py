@@ -206,7 +206,8 @@ SAID_BY_STATUS = {"F": "关于组织{A}参加年会。", "P": "现将{A}有关
 
 
 def host_notices(spark, d) -> DataFrame:
-    """Orders as notices (id, text, url, spider, publisher), and what their words are made of."""
+    """Orders as notices (id, text, url, spider, publisher). The rules take more time than rows take space, so
+    they are dealt to more tasks than their size asks for."""
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
     o = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     priority = F.regexp_replace("o_orderpriority", "[^A-Z]", "")
@@ -214,7 +215,7 @@ def host_notices(spark, d) -> DataFrame:
     pick = lambda c, words: F.coalesce(*(F.when(F.col(c) == k, w) for k, w in words.items()), F.lit(""))
     text = filled(F.concat(pick("o_orderstatus", SAID_BY_STATUS), pick("n", SAID)))
     url = F.concat(F.lit("https://"), F.lower("c_mktsegment"), F.lit(".example.org/n/"), F.col("o_orderkey"))
-    return o.select(F.col("o_orderkey").alias("id"), text.alias("text"), url.alias("url"), F.lower(priority).alias("spider"), F.when(F.col("o_totalprice") > 250_000, F.concat("c_mktsegment", F.lit("处"))).otherwise(F.col("c_name")).alias("publisher"))
+    return o.select(F.col("o_orderkey").alias("id"), text.alias("text"), url.alias("url"), F.lower(priority).alias("spider"), F.when(F.col("o_totalprice") > 250_000, F.concat("c_mktsegment", F.lit("处"))).otherwise(F.col("c_name")).alias("publisher")).repartition(4 * spark.sparkContext.defaultParallelism, "id")
 
 
 def known_hosts(spark, d) -> tuple[DataFrame, DataFrame]:
