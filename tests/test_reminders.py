@@ -2,7 +2,9 @@
 
 import datetime
 import random
+from types import SimpleNamespace
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from noticewright.streaming import reminders as R
@@ -73,6 +75,78 @@ def test_reminders_over_batches_and_a_restart(spark, tmp_path):
     assert got == want
 
 
+class Counted:
+    """A state handle in memory that counts calls."""
+
+    def __init__(self):
+        self.calls, self.timers, self.lists, self.map = 0, set(), {}, {}
+
+    def getListState(self, name, schema):
+        outer, rows = self, self.lists.setdefault(name, [])
+
+        class State:
+            def appendValue(self, v):
+                outer.calls += 1
+                rows.append(v)
+
+            def put(self, values):
+                outer.calls += 1
+                rows[:] = values
+
+            def get(self):
+                outer.calls += 1
+                return iter(list(rows))
+
+            def clear(self):
+                outer.calls += 1
+                rows.clear()
+
+        return State()
+
+    def getMapState(self, name, keys, values):
+        outer = self
+
+        class State:
+            def iterator(self):
+                outer.calls += 1
+                return iter(list(outer.map.items()))
+
+            def containsKey(self, k):
+                outer.calls += 1
+                return k in outer.map
+
+            def getValue(self, k):
+                outer.calls += 1
+                return outer.map.get(k)
+
+            def updateValue(self, k, v):
+                outer.calls += 1
+                outer.map[k] = v
+
+        return State()
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+def test_calls_to_the_state_grow_with_batches_not_rows():
+    rng, handle, sends = random.Random(5), Counted(), R.Reminders()
+    rows = [(0, *r[1:]) for r in log(rng, 3000, 40, 20)]
+    handle_rows = [Row(at=int((r[2] - datetime.datetime(1970, 1, 1)).total_seconds()) * 1_000_000, event_id=r[1], item=r[3], deadline=r[4]) for r in rows]
+    sends.init(handle)
+    got, cut = [], [handle_rows[k : k + 750] for k in range(0, 3000, 750)]
+    for k, batch in enumerate(cut):
+        list(sends.handleInputRows((0,), iter(batch), None) or ())
+        mark = (cut[k][-1].at if k < 3 else cut[3][-1].at + 10**9) // 1000
+        values = SimpleNamespace(getCurrentWatermarkInMs=lambda mark=mark: mark)
+        for t in sorted(t for t in handle.timers if t <= mark):
+            handle.timers.discard(t)
+            got += list(sends.handleExpiredTimer((0,), values, SimpleNamespace(getExpiryTimeInMs=lambda t=t: t)))
+    assert handle.calls < 4 * (12 + 20)  # some a batch, and the items that changed
+    assert sorted((r.item, r.days_left, r.n_history) for r in got) == sorted((w[1], w[3], w[5]) for w in brute(rows))
+
+
 def test_late_rows_come_once(spark, tmp_path):
     source, day = str(tmp_path / "log"), lambda n: DAY0 + datetime.timedelta(days=n)
     batches = [[(1, 1, day(10), None, None), (1, 2, day(9), None, None)], [(1, 3, day(8), None, None), (1, 2, day(9), None, None), (1, 4, day(1), None, None), (1, 5, day(12), None, None)], [(1, 3, day(8), None, None), (1, 5, day(12), None, None), (1, 6, day(11), None, None)]]
