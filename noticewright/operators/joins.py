@@ -25,6 +25,13 @@ def insert_or_ignore(new: DataFrame, stored: DataFrame, key: str, order: list[st
     return first_per(new, [key], order).join(stored.select(key).distinct(), key, "left_anti")
 
 
+def insert_or_precede(new: DataFrame, stored: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Rows of ``new`` to append: the first of each key that ``stored`` lacks, or that comes before what is stored."""
+    known = stored.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
+    joined = first_per(new, [key], order).join(known, key, "left")
+    return joined.where(F.col("_first").isNull() | (F.struct(*order) < F.col("_first"))).select(*new.columns)
+
+
 def or_anti(new: DataFrame, stored: DataFrame, keys: tuple[str, str], order: list[str]) -> DataFrame:
     """Rows that match ``stored`` in neither key: two anti joins, since one OR join would compare
     every pair. In the batch the first row of either key wins (E3)."""

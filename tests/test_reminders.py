@@ -2,13 +2,14 @@
 
 import datetime
 import random
+import time
 from types import SimpleNamespace
 
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from noticewright.streaming import reminders as R
-from noticewright.streaming.incremental import stream_of
+from noticewright.streaming.incremental import ingest, stream_of
 
 DAY0 = datetime.datetime(2024, 3, 1)
 
@@ -156,3 +157,12 @@ def test_late_rows_come_once(spark, tmp_path):
         run(spark, R.deliver_once(stream_of(spark, source, "*", 1), "event_id", "ts").select("event_id"), out, state)
     # 4 is later than the mark, the second 3 too; 2 and 5 come again and go.
     assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == [1, 2, 3, 5, 6]
+
+
+def test_ingest_keeps_the_first_whatever_batch_brings_it(spark, tmp_path):
+    source, ids = str(tmp_path / "docs"), [[(9, "a"), (7, None)], [(5, "b"), (3, "a")], [(4, "a"), (1, "b"), (2, None), (8, "c")]]
+    for k, rows in enumerate(ids):
+        spark.createDataFrame(rows, "doc_id long, url string").coalesce(1).write.parquet(f"{source}/{k}.parquet")
+        time.sleep(0.01)
+    got = ingest(stream_of(spark, source, "*", 1), "ingest-test", "url", ["doc_id"])
+    assert sorted(r.doc_id for r in got.collect()) == [1, 2, 3, 8]
