@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import contains_any
 from ..plans.views import table
 from ..registry import query
+from ..sources.tables import once_each
 
 # Fixed values from here on: word lists and patterns of the surveyed program, in its order.
 NOT_IN_NAMES = (
@@ -206,8 +207,7 @@ SAID_BY_STATUS = {"F": "关于组织{A}参加年会。", "P": "现将{A}有关
 
 
 def host_notices(spark, d) -> DataFrame:
-    """Orders as notices (id, text, url, spider, publisher). The rules take more time than rows take space, so
-    they are dealt to more tasks than their size asks for."""
+    """Orders as notices (id, text, url, spider, publisher)."""
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
     o = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     priority = F.regexp_replace("o_orderpriority", "[^A-Z]", "")
@@ -215,7 +215,7 @@ def host_notices(spark, d) -> DataFrame:
     pick = lambda c, words: F.coalesce(*(F.when(F.col(c) == k, w) for k, w in words.items()), F.lit(""))
     text = filled(F.concat(pick("o_orderstatus", SAID_BY_STATUS), pick("n", SAID)))
     url = F.concat(F.lit("https://"), F.lower("c_mktsegment"), F.lit(".example.org/n/"), F.col("o_orderkey"))
-    return o.select(F.col("o_orderkey").alias("id"), text.alias("text"), url.alias("url"), F.lower(priority).alias("spider"), F.when(F.col("o_totalprice") > 250_000, F.concat("c_mktsegment", F.lit("处"))).otherwise(F.col("c_name")).alias("publisher")).repartition(4 * spark.sparkContext.defaultParallelism, "id")
+    return o.select(F.col("o_orderkey").alias("id"), text.alias("text"), url.alias("url"), F.lower(priority).alias("spider"), F.when(F.col("o_totalprice") > 250_000, F.concat("c_mktsegment", F.lit("处"))).otherwise(F.col("c_name")).alias("publisher"))
 
 
 def known_hosts(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -284,27 +284,31 @@ SQL = _sql()
 
 @query("K17_joint_hosts", SQL["joint"])
 def joint_hosts_query(spark, d):
-    return host_notices(spark, d).select("id", joint_hosts(cleaned(F.col("text"))).alias("hosts"))
+    rows = host_notices(spark, d).select("id", "text")
+    return once_each(rows, ["text"], lambda t: t.withColumn("hosts", joint_hosts(cleaned(F.col("text"))))).select("id", "hosts")
 
 
 @query("K16_core_unit", SQL["unit"])
 def core_unit_query(spark, d):
-    return host_notices(spark, d).withColumn("t", cleaned(F.col("text"))).select("id", core_unit(F.col("t")).alias("unit"))
+    rows = host_notices(spark, d).select("id", "text")
+    units = lambda t: t.withColumn("t", cleaned(F.col("text"))).select("text", core_unit(F.col("t")).alias("unit"))
+    return once_each(rows, ["text"], units).select("id", "unit")
 
 
 @query("K12_organizer", SQL["parsed"])
 def organizer_query(spark, d):
     """The host that each notice names, by all stages."""
-    return with_organizer(host_notices(spark, d)).select("id", "parsed")
+    return once_each(host_notices(spark, d).select("id", "text"), ["text"], with_organizer).select("id", "parsed")
 
 
 @query("K19_candidate_tests", SQL["tests"])
 def candidate_tests(spark, d):
     """Validity, fragment and joint tests of what notices name."""
     p = F.col("parsed")
-    return with_organizer(host_notices(spark, d)).select("id", valid(p).alias("valid"), sentence_fragment(p).alias("fragment"), joint_candidate(p).alias("joint"))
+    tests = lambda t: with_organizer(t).select("text", valid(p).alias("valid"), sentence_fragment(p).alias("fragment"), joint_candidate(p).alias("joint"))
+    return once_each(host_notices(spark, d).select("id", "text"), ["text"], tests).select("id", "valid", "fragment", "joint")
 
 
 @query("K18_organizer_fallback", SQL["organizer"])
 def organizer_fallback(spark, d):
-    return with_fallback(with_organizer(host_notices(spark, d)), *known_hosts(spark, d)).select("id", "organizer")
+    return with_fallback(once_each(host_notices(spark, d), ["text"], with_organizer), *known_hosts(spark, d)).select("id", "organizer")

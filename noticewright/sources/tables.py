@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,27 @@ def coalesce_columns(df: DataFrame, names: list[str], default: Column | None = N
     return F.coalesce(*there, default) if there else default
 
 
+#: Bytes of judged values that may be broadcast.
+BROADCAST_JUDGED = 32 << 20
+
+
+def once_each(rows: DataFrame, given: list[str], judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` with the columns that ``judge`` adds to a table of the columns ``given``, which it keeps. Equal values are
+    judged once and joined to all rows that have them, nulls too. For rules that take more time than a join: they are dealt to
+    more tasks than their size asks for."""
+    spark = rows.sparkSession
+    values = rows.select(*given).distinct().repartition(4 * spark.sparkContext.defaultParallelism, *given)
+    judged = judge(values)
+    judged.write.parquet(path := scratch(spark, "judged"))
+    judged = spark.read.schema(judged.schema).parquet(path)
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 64 for c in given), F.lit(0))
+    added = judged.select(*(F.col(c).alias(f"_given_{c}") for c in given), *(c for c in judged.columns if c not in given))
+    if (judged.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_JUDGED:
+        added = F.broadcast(added)
+    same = [F.col(c).eqNullSafe(F.col(f"_given_{c}")) for c in given]
+    return rows.join(added, same, "left").drop(*(f"_given_{c}" for c in given))
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """JSON lines; non-ASCII text stays as it is."""
     df.write.mode("overwrite").json(path)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from noticewright.operators import organizers as O
+from noticewright.sources.tables import once_each
 
 NAMED = [
     ("本届论坛由共青团中央、教育部、全国学联和中国科协共同主办", "共青团中央、教育部、全国学联、中国科协"),
@@ -70,3 +71,25 @@ def test_fallback(spark):
     table = lambda rows: spark.createDataFrame(rows, "key string, organizer string")
     got = {r["id"]: r["organizer"] for r in O.with_fallback(parsed, table([("a.example.org", "甲处")]), table([("s1", "乙处")])).collect()}
     assert got == {0: "理学院", 1: "甲处", 2: "乙处", 3: "文学院", 4: None, 5: "文学院、校团委", 6: "甲处"}
+
+
+def test_equal_texts_are_judged_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def slow(t):
+        seen.add(1)
+        return None if t is None else t.upper()
+
+    texts = ["文学院a", "b", None, ""]
+    df = spark.createDataFrame([(i, texts[i % 4], i % 2) for i in range(4000)], "id int, text string, other int")
+    got = once_each(df, ["text", "other"], lambda t: t.withColumn("up", slow("text")))
+    assert sorted((r.id, r.text, r.up) for r in got.collect()) == [(i, texts[i % 4], texts[i % 4] and texts[i % 4].upper()) for i in range(4000)]
+    assert seen.value == 4
+
+
+def test_hosts_of_equal_notices_are_parsed_once(spark, sf, monkeypatch):
+    given, parse = [], O.with_organizer
+    monkeypatch.setattr(O, "with_organizer", lambda t: given.append(t.count()) or parse(t))
+    rows = O.organizer_query(spark, sf).count()
+    assert given[0] < rows / 2 and rows == O.host_notices(spark, sf).count()
