@@ -19,6 +19,7 @@ from ..functions.dates import completed_date
 from ..functions.text import running_sums
 from ..plans.views import table
 from ..registry import query
+from ..sources.tables import once_each
 from .blocks import with_following
 from .extraction import labelled
 
@@ -471,10 +472,8 @@ SELECT id, r.kind AS kind, r.date AS date, r.stage AS stage FROM (SELECT id, coa
 
 @query("K11_date_program", deadline_sql())
 def date_program(spark, d):
-    """The date of every order's notice by all stages (K10, K11). The rules take more time than rows
-    take space, so the notices are dealt to more tasks than their size asks for."""
-    notices = order_notices(spark, d).repartition(4 * spark.sparkContext.defaultParallelism, "id")
-    return with_notice_date(notices).select("id", "when.kind", "when.date", "when.stage")
+    """The date of every order's notice by all stages."""
+    return once_each(order_notices(spark, d), ["text", "published"], with_notice_date).select("id", "when.kind", "when.date", "when.stage")
 
 
 _NOTICES = deadline_sql().split("f AS (SELECT")[0].rstrip().rstrip(",")
