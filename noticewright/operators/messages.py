@@ -75,11 +75,13 @@ def contained_either_way(texts: DataFrame, names: DataFrame, gram: int = GRAM) -
 
 def interest_of(texts: DataFrame, names: DataFrame) -> DataFrame:
     """``texts`` (id, text) with the category of the smallest ordinal one of whose names (name, category, ordinal) meets the
-    normalised text either way; null if none does (K41)."""
-    plain = texts.select("id", normalised(F.col("text")).alias("text"))
+    normalised text either way; null if none does (K41). Each distinct text is decided once: a text meets many names,
+    and the rows that have it meet none of them but its category."""
+    rows = texts.withColumn("_plain", normalised(F.col("text")))
+    plain = rows.select(F.col("_plain").alias("id"), F.col("_plain").alias("text")).distinct()
     known = names.select(normalised(F.col("name")).alias("name"), "category", "ordinal")
     met = contained_either_way(plain, known).join(known, "name").groupBy("id").agg(F.min_by("category", F.struct("ordinal", "category")).alias("category"))
-    return texts.join(met, "id", "left")
+    return rows.join(met.withColumnRenamed("id", "_plain"), "_plain", "left").select(*texts.columns, "category")
 
 
 def title_order(df: DataFrame, title: str, *ties: str, collation: str = "zh") -> DataFrame:

@@ -56,3 +56,10 @@ def test_titles_in_the_order_of_a_language(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(["张", "李", "王", "安", "bee", "Ant", "éclair", "zoo"])], "id int, title string")
     assert [r["title"] for r in M.title_order(df.where("id < 4"), "title", "id").collect()] == ["安", "李", "王", "张"]
     assert [r["title"] for r in M.title_order(df.where("id > 3"), "title", "id", collation="UNICODE").collect()] == ["Ant", "bee", "éclair", "zoo"]
+
+
+def test_rows_have_the_category_of_their_own_text(spark):
+    texts = spark.createDataFrame([(1, "aaab"), (1, "b b"), (2, "aaab"), (3, None), (4, "q")], "id int, text string")
+    names = spark.createDataFrame([("aaa", "x", "1"), ("bb", "y", "2"), ("aaabc", "z", "3")], "name string, category string, ordinal string")
+    got = sorted(((r.id, r.text, r.category) for r in M.interest_of(texts, names).collect()), key=str)
+    assert got == sorted([(1, "aaab", "x"), (1, "b b", "y"), (2, "aaab", "x"), (3, None, None), (4, "q", None)], key=str)
