@@ -239,11 +239,14 @@ def taxonomy_argmax(spark, d):
        SELECT c_custkey, arg_max(n_name, score * 1000 - n_nationkey) AS best FROM m GROUP BY c_custkey""",
 )
 def interest_match(spark, d):
-    """Interests against the categories of one group: equality 2, containment 1, the first of the best."""
+    """Interests against the categories of one group: equality 2, containment 1, the first of the best. Customers are dealt
+    by key before they are multiplied, so that pairs are made and compared in as many tasks as there are."""
     nations = table(spark, d, "nation")
     if nations.count() <= BROADCAST_NAMES:
         nations = F.broadcast(nations)
-    pairs = table(spark, d, "customer").join(nations, F.col("n_regionkey") == F.col("c_custkey") % 5)
+    customers = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    customers = customers.repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey")
+    pairs = customers.join(nations, F.col("n_regionkey") == F.col("c_custkey") % 5)
     score = F.when(F.lower("n_name") == F.lower("c_mktsegment"), 2.0).when(F.contains("c_name", F.col("n_nationkey").cast("string")), 1.0).otherwise(0.0)
     return pairs.groupBy("c_custkey").agg(F.max_by("n_name", score * 1000 - F.col("n_nationkey")).alias("best"))
 
