@@ -10,7 +10,7 @@ from ..functions import dates
 from ..functions.text import folded_title, without_punctuation
 from ..plans.views import ACTIONS_SQL, NOTICES_SQL, actions, notices, table
 from ..registry import query
-from .aggregates import _DEADLINE_SQL, _with_deadline, page, sorted_notices
+from .aggregates import _DEADLINE_SQL, _with_deadline, dealt, page, sorted_notices
 from .extraction import tags
 from .joins import CATEGORY_RULES, argmax_rule
 
@@ -160,10 +160,10 @@ PRONOUNS = ["er", "he", "her", "his", "it", "its", "she", "that", "they", "this"
 
 
 def commonest_tokens(df: DataFrame, id_col: str, text, k: int, stop: list[str], shortest: int = 2) -> DataFrame:
-    """The ``k`` commonest tokens of each text, ties by token (F13b to F13d). Tokens are
-    counted by task before they are shuffled by text and token."""
-    token = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda x: (F.length(x) >= shortest) & ~x.isin(stop))
-    counts = df.select(F.col(id_col), F.explode(token).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("n"))
+    """The ``k`` commonest tokens of each text, ties by token (F13b to F13d). Texts
+    are dealt by id, so that they are all that moves: tokens are counted and ranked where their text is."""
+    token = F.filter(F.split(F.lower("_text"), r"[^\p{L}]+"), lambda x: (F.length(x) >= shortest) & ~x.isin(stop))
+    counts = dealt(df.select(id_col, text.alias("_text")), id_col).select(id_col, F.explode(token).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("n"), "token"))
     return counts.withColumn("place", place.cast("long")).where(F.col("place") <= k)
 
