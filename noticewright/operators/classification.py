@@ -12,11 +12,12 @@ from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, StringIndexer
+from pyspark.ml.feature import IDF, StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
+from ..functions.pairs import PairCounts
 from ..functions.text import contains_any, normalised
 from ..plans.views import NOTICES_SQL, notices, table
 from ..registry import query
@@ -147,10 +148,8 @@ def first_category(t: Column, table_: list[tuple[str, list[str]]], default: str)
 
 def text_classifier(features: int = 1 << 16) -> Pipeline:
     """Character 1- and 2-grams, TF-IDF, naive Bayes (L13 to L15). ``model.write()`` stores all of it."""
-    chars = RegexTokenizer(inputCol="text", outputCol="chars", pattern="", minTokenLength=1)
-    pairs = NGram(n=2, inputCol="chars", outputCol="pairs")
-    tf = HashingTF(inputCol="pairs", outputCol="tf", numFeatures=features)
-    return Pipeline(stages=[StringIndexer(inputCol="category", outputCol="label", handleInvalid="keep"), chars, pairs, tf, IDF(inputCol="tf", outputCol="features"), NaiveBayes(featuresCol="features", labelCol="label")])
+    tf = PairCounts(inputCol="text", outputCol="tf", numFeatures=features)
+    return Pipeline(stages=[StringIndexer(inputCol="category", outputCol="label", handleInvalid="keep"), tf, IDF(inputCol="tf", outputCol="features"), NaiveBayes(featuresCol="features", labelCol="label")])
 
 
 LATIN = Rules(

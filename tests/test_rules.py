@@ -124,6 +124,25 @@ def test_naive_bayes_learns(spark, sf):
     assert sum(r["prediction"] == r["label"] for r in held) >= 0.8 * len(held)
 
 
+def test_pairs_are_counted_as_by_mllib(spark, tmp_path):
+    """One step over batches, without a row of characters, counts what three stages of MLlib count."""
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer
+
+    from noticewright.functions.pairs import PairCounts
+    from noticewright.operators.classification import text_classifier
+
+    assert any(isinstance(s, PairCounts) for s in text_classifier().getStages())
+    texts = ["", "a", "ab", "Öl  \n\x00\x00z", "报名截止 2025年", "😀x😀😀", "İSTANBUL ΣΑΣ", "the cat sat on the mat " * 400, "\x7f\x80\u07ff\u0800\uffff"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 9)], "i int, text string")
+    old = Pipeline(stages=[RegexTokenizer(inputCol="text", outputCol="chars", pattern="", minTokenLength=1), NGram(n=2, inputCol="chars", outputCol="pairs"), HashingTF(inputCol="pairs", outputCol="tf", numFeatures=4096)])
+    want = {r["i"]: r["tf"] for r in old.fit(df).transform(df).collect()}
+    new = Pipeline(stages=[PairCounts(inputCol="text", outputCol="tf", numFeatures=4096)]).fit(df)
+    new.write().save(f"file://{tmp_path}/model")
+    assert {r["i"]: r["tf"] for r in PipelineModel.load(f"file://{tmp_path}/model").transform(df).collect()} == want
+    assert PairCounts(inputCol="text", outputCol="tf").transform(df.where("i < 0")).count() == 0
+
+
 def test_decayed_weights_take_300_actions(spark, sf):
     from noticewright import catalog
     from noticewright.operators.aggregates import decayed_weights
