@@ -10,6 +10,8 @@ The first round compares the pairs of a maximum spanning forest of each such par
 and tree at most, however large a group of copies is). The rounds after it go through whole regions
 of the first ``LEAST`` values, however large, for pairs of different components: first a few of each
 document, then, among the documents of pairs that were left out, all likely pairs by falling estimate.
+Those are compared where they meet, on the full sets, and only links that join something go on: the
+pairs of a family may be many, what is written isn't.
 A large region is dealt out as cells, blocks of documents against blocks of documents. Links join components between the
 rounds, so that only pairs still of different components are compared, but none of those is left.
 """
@@ -36,8 +38,9 @@ TREES, DEPTH, LEAST, REGION = 24, 6, 3, 1024
 BITS, TWOS, LIKELY = 128, TREES * DEPTH, 0.625
 WORDS = BITS // 64 + -(-TWOS // 32)
 #: Where a document of the second round has more than 16 likely partners in a region: so many of the
-#: likeliest in each other component, in each of the trees. What this leaves out is for later rounds.
-FEW = 5
+#: likeliest in each other component, in each of the trees, and ``MOST`` at most. What this leaves out is
+#: for later rounds.
+FEW, MOST = 5, 64
 #: Rounds after the first: the least estimate of their pairs, and the ``few`` of above if there is one.
 SURE = 0.715
 ROUNDS = [(LIKELY, FEW), (SURE, None), (LIKELY, None)]
@@ -51,6 +54,9 @@ _B = _RNG.integers(0, 1 << 63, TREES * DEPTH + BITS, dtype=np.uint64)
 BASE = "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, sig binary, sketch binary"
 ROW = "tree int, key binary, id long, comp long, sketch binary"
 CELL = ["region", "row", "col"]
+#: Shingles that weigh as much as a document in the size of a cell, where sets are dealt out too; sets
+#: that are compared with another one in one go.
+WEIGHT, TOGETHER = 1024, 64
 
 
 def minhash(found: np.ndarray) -> np.ndarray:
@@ -152,6 +158,7 @@ def _between(sketch: np.ndarray, comp: np.ndarray, size: np.ndarray, rows: np.nd
             order = np.lexsort((-got, comp[j]))
             j, now = j[order], now[order]
             now &= np.arange(len(j)) - np.searchsorted(comp[j], comp[j]) < few
+            now[np.flatnonzero(now)[np.argsort(-got[order][now], kind="stable")[MOST:]]] = False
         if not now.all():
             left[i] = True
             left[j[~now]] = True
@@ -161,6 +168,37 @@ def _between(sketch: np.ndarray, comp: np.ndarray, size: np.ndarray, rows: np.nd
     return np.concatenate([none, *i_out]), np.concatenate([none, *j_out]), np.flatnonzero(left)
 
 
+def _links(sketch: np.ndarray, comp: np.ndarray, size: np.ndarray, rows: np.ndarray, cols: np.ndarray, least: float, alike: tuple[int, int], tree: int, start: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like ``_between`` without ``few``, but pairs are confirmed on their full ``sets``, and a link is
+    given only if those before it don't join its components already. ``start``: a document's region in
+    each tree; a pair is compared in the first of the trees where it shares one."""
+    joined, left, found = comp.copy(), np.zeros(len(sketch), dtype=bool), []
+    n = np.array([len(x) for x in sets])
+    for i in rows:
+        j = cols[((size[cols] > size[i]) | ((size[cols] == size[i]) & (comp[cols] < comp[i]))) & (joined[cols] != joined[i])]
+        j = j[np.minimum(n[i], n[j]) * alike[1] >= np.maximum(n[i], n[j]) * alike[0]]
+        got = _alike(sketch, i, j)
+        j, got = j[got >= LIKELY], got[got >= LIKELY]
+        mine = (start[j] == start[i]).argmax(axis=1) == tree
+        j, got = j[mine], got[mine]
+        if (got < least).any():
+            left[i] = True
+            left[j[got < least]] = True
+        j = j[got >= least][np.argsort(-got[got >= least], kind="stable")]
+        while len(j):
+            now, j = j[:TOGETHER], j[TOGETHER:]
+            theirs = np.concatenate([sets[k] for k in now])
+            same = sets[i][np.minimum(np.searchsorted(sets[i], theirs), n[i] - 1)] == theirs
+            shared = np.add.reduceat(same, np.cumsum(n[now]) - n[now], dtype=np.int64)
+            for k in now[shared * alike[1] >= alike[0] * (n[i] + n[now] - shared)]:
+                if joined[k] != joined[i]:
+                    found.append((i, k))
+                    joined[joined == joined[k]] = joined[i]
+            j = j[joined[j] != joined[i]]
+    i, j = np.array(found, dtype=np.int64).reshape(-1, 2).T
+    return i, j, np.flatnonzero(left)
+
+
 def _pairs(region: int = REGION):
     def run(batches):
         """Rows come sorted by (tree, key, id). Whole regions are worked on; the last one of a batch
@@ -201,7 +239,7 @@ def _pairs(region: int = REGION):
     return run
 
 
-def _cells(least: float, few: int | None):
+def _cells(*how):
     def run(batches):
         """Rows come sorted by cell, which is worked on when its last row is there."""
         held: list[pa.Table] = []
@@ -212,24 +250,30 @@ def _cells(least: float, few: int | None):
             keys = np.stack([t.column(c).to_numpy() for c in CELL])
             new = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
             if held and any(held[0].column(c)[0] != t.column(c)[0] for c in CELL):
-                yield from _cell(held, least, few)
+                yield from _cell(held, *how)
                 held = []
             at = 0
             for end in new.tolist():
-                yield from _cell([*held, t.slice(at, end - at)], least, few)
+                yield from _cell([*held, t.slice(at, end - at)], *how)
                 held, at = [], end
             held.append(t.slice(at))
         if held:
-            yield from _cell(held, least, few)
+            yield from _cell(held, *how)
 
     return run
 
 
-def _cell(parts: list[pa.Table], least: float, few: int | None) -> Iterator[pa.RecordBatch]:
+def _cell(parts: list[pa.Table], least: float, few: int | None, alike: tuple[int, int] | None) -> Iterator[pa.RecordBatch]:
     t = pa.concat_tables(parts)
     ids, comp, size, of_row, of_col = (t.column(c).to_numpy() for c in ("id", "comp", "size", "of_row", "of_col"))
     sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint64).reshape(-1, WORDS)
-    i, j, left = _between(sketch, comp, size, np.flatnonzero(of_row), np.flatnonzero(of_col), least, few)
+    cell = sketch, comp, size, np.flatnonzero(of_row), np.flatnonzero(of_col), least
+    if alike:
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=">u4").reshape(-1, TREES, DEPTH)
+        start = np.ascontiguousarray(sig[:, :, :LEAST]).view(f"S{4 * LEAST}")[:, :, 0]
+        i, j, left = _links(*cell, alike, t.column("tree")[0].as_py(), start, [np.frombuffer(x, dtype=np.uint64) for x in t.column("found").to_pylist()])
+    else:
+        i, j, left = _between(*cell, few)
     i, j = np.append(i, left), np.append(j, left)  # (a, a): a is in a pair left out
     if len(i):
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], names=["a", "b"])
@@ -260,20 +304,43 @@ def candidates(reps: DataFrame, region: int = REGION) -> DataFrame:
     )
 
 
-def between(reps: DataFrame, least: float, few: int | None, region: int = REGION) -> DataFrame:
-    """(a, b) with a < b of a later round, and (a, a) for documents of pairs left out.
+def sets_of(reps: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """id, found: the full sets of the documents that ``reps`` (id, doc_id, text_hash) stand for."""
+    named = written(reps.select("id", "doc_id", "text_hash"), "near-named")
+    few = named.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(named) if few else named, ["doc_id", "text_hash"]).select("id", "text")
+
+    def run(frames):
+        for f in frames:
+            for lo in range(0, len(f), 100):
+                part = f.iloc[lo : lo + 100]
+                yield pd.DataFrame({"id": part["id"], "found": [shingles(t, size).tobytes() for t in part["text"]]})
+
+    sets = written(texts.mapInPandas(run, "id long, found binary").dropDuplicates(["id"]), "near-sets")
+    dropped(named)
+    return sets
+
+
+def between(reps: DataFrame, least: float, few: int | None, region: int = REGION, sets: DataFrame | None = None, alike: tuple[int, int] | None = None) -> DataFrame:
+    """(a, b) with a < b of a later round, and (a, a) for documents of pairs left out. With the full
+    ``sets`` (and ``n_shingles`` in ``reps``), of the pairs only links that are ``alike`` enough.
 
     Every pair of different components of a region meets in one cell. The largest component of a
     region has no rows of its own in it, so that cells grow with the documents outside it.
     """
     key = F.xxhash64("tree", F.substring("key", 1, 4 * LEAST))
-    grown = reps.select("id", "comp", "sig", F.lit(b"").alias("sketch")).mapInArrow(_grow, ROW).select(key.alias("region"), "id", "comp").repartition("region")
+    grown = reps.select("id", "comp", "sig", F.lit(b"").alias("sketch")).mapInArrow(_grow, ROW).select("tree", key.alias("region"), "id", "comp")
+    if sets is not None:
+        grown = grown.join(reps.select("id", F.greatest(F.lit(1.0), F.col("n_shingles") / WEIGHT).alias("weight")), "id")
+    else:
+        grown = grown.withColumn("weight", F.lit(1.0))
+    grown = grown.repartition("region")
     whole, part = Window.partitionBy("region"), Window.partitionBy("region", "comp")
-    mixed_ = grown.withColumns({"lo": F.min("comp").over(whole), "hi": F.max("comp").over(whole), "n": F.count("*").over(whole)}).where("lo < hi").drop("lo", "hi")
-    sized = mixed_.withColumn("size", F.count("*").over(part))
+    mixed_ = grown.withColumns({"lo": F.min("comp").over(whole), "hi": F.max("comp").over(whole), "n": F.sum("weight").over(whole)}).where("lo < hi").drop("lo", "hi")
+    sized = mixed_.withColumns({"size": F.count("*").over(part), "part": F.sum("weight").over(part)})
     # The largest component, the smallest id of equal ones.
-    sized = sized.withColumn("top", F.max(F.struct("size", -F.col("comp"))).over(whole)).withColumn("outside", F.col("comp") != -F.col("top")["col2"])
-    sized = sized.withColumns({"rows": F.ceil((F.col("n") - F.col("top")["size"]) / region), "cols": F.ceil(F.col("n") / region)}).drop("top")
+    sized = sized.withColumn("top", F.max(F.struct("size", -F.col("comp"), "part")).over(whole)).withColumn("outside", F.col("comp") != -F.col("top")["col2"])
+    sized = sized.withColumns({"rows": F.ceil((F.col("n") - F.col("top")["part"]) / region), "cols": F.ceil(F.col("n") / region)}).drop("top")
     small, hashed = F.col("n") <= region, F.xxhash64("id")
     cell = lambda row, col, of_row, of_col: F.struct(row.cast("long").alias("row"), col.cast("long").alias("col"), of_row.alias("of_row"), of_col.alias("of_col"))
     mine_row, mine_col = F.pmod(hashed, F.col("rows")), F.pmod(hashed, F.col("cols"))
@@ -281,10 +348,11 @@ def between(reps: DataFrame, least: float, few: int | None, region: int = REGION
     # Where a document is of the row and the column of one cell, it stands there once.
     as_col = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1), lambda r: cell(r, mine_col, F.col("outside") & (r == mine_row), yes))
     as_row = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1), lambda c: F.col("outside") & (c != mine_col)), lambda c: cell(mine_row, c, yes, no))
-    dealt = sized.withColumn("c", F.explode(F.when(small, one).otherwise(F.concat(as_col, as_row)))).select("region", "id", "comp", "size", "c.*")
+    dealt = sized.withColumn("c", F.explode(F.when(small, one).otherwise(F.concat(as_col, as_row)))).select("tree", "region", "id", "comp", "size", "c.*")
+    facts = reps.select("id", "sketch") if sets is None else reps.select("id", "sketch", "sig").join(sets, "id")
     return (
-        dealt.join(reps.select("id", "sketch"), "id").repartition(*CELL).sortWithinPartitions(*CELL)
-        .mapInArrow(_cells(least, few), "a long, b long")
+        dealt.join(facts, "id").repartition(*CELL).sortWithinPartitions(*CELL)
+        .mapInArrow(_cells(least, few, alike), "a long, b long")
         .distinct()
     )
 
@@ -351,16 +419,22 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # The id of a set is any number; written, it stays the same.
     reps = written(grouped.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "n_shingles", "at.doc_id", "at.text_hash", "sig", "sketch"), "near-reps")
     pairs = written(candidates(reps.withColumn("comp", F.col("id")), region=region), "near-pairs")
-    stars, open_, tested = components(confirm(pairs, base, reps, least, size)), reps, pairs
-    for again in ROUNDS:
-        now = open_.join(stars, open_["id"] == stars["u"], "left").select("id", F.coalesce("v", "id").alias("comp"), "sig", "sketch")
-        found = written(between(now, *again, region), "near-found")
-        more = written(found.where("a < b").join(tested, ["a", "b"], "left_anti"), "near-more")
-        stars = components(stars.unionByName(confirm(more, base, reps, least, size)))
+    stars, open_ = components(confirm(pairs, base, reps, least, size)), reps
+    for estimate, few in ROUNDS:
+        now = open_.join(stars, open_["id"] == stars["u"], "left").select("id", F.coalesce("v", "id").alias("comp"), "n_shingles", "sig", "sketch")
+        if few:
+            found = written(between(now, estimate, few, region), "near-found")
+            links = confirm(written(found.where("a < b").join(pairs, ["a", "b"], "left_anti"), "near-more"), base, reps, least, size)
+        else:
+            sets = sets_of(open_, base, size)
+            found = written(between(now, estimate, None, region, sets, least), "near-found")
+            links = found.where("a < b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+            dropped(sets)
+        stars = components(stars.unionByName(links))
         left = found.where("a = b").select(F.col("a").alias("id"))
         if left.isEmpty():
             break
-        open_, tested = reps.join(left, "id", "left_semi"), tested.unionByName(more)
+        open_ = reps.join(left, "id", "left_semi")
     rooted = written(reps.select("id", "h1", "h2", "n_shingles", "doc_id", "text_hash").join(stars, F.col("id") == F.col("u"), "left").select("h1", "h2", "n_shingles", "doc_id", "text_hash", F.coalesce("v", "id").alias("root")), "near-rooted")
     first = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
     named = described.select("doc_id", "text_hash", "n_shingles", "h1", "h2").join(rooted.join(first, "root").select("h1", "h2", "n_shingles", "first"), ["h1", "h2", "n_shingles"], "left")

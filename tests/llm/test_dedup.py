@@ -192,3 +192,16 @@ def test_cells_meet_every_pair(spark):
     comp = lambda i: i if i % 3 else 0
     got = [(r["a"], r["b"]) for r in near_dedup.between(reps, near_dedup.LIKELY, None, 8).collect()]
     assert sorted(got) == [(i, j) for i in range(50) for j in range(i + 1, 50) if comp(i) != comp(j)]
+
+
+def test_later_rounds_write_links_only(spark):
+    """Pairs are compared where they meet: a family of n documents writes n - 1 links, or none, and no pairs."""
+    one = frame(spark, [(0, "a b c d e f g")]).select("doc_id", F.lit(0).alias("text_hash"), "text").mapInPandas(near_dedup._describe(1), near_dedup.BASE).first()
+    reps = spark.createDataFrame([(i, i if i % 3 else 0, 7 if i < 40 else 40_000, one["sig"], one["sketch"]) for i in range(50)], "id long, comp long, n_shingles long, sig binary, sketch binary")
+    whole, other = shingles("a b c d e f g", 1).tobytes(), lambda i: shingles(f"a b c d x{i} y{i} z{i}", 1).tobytes()
+    for sets, want in ((lambda i: whole, 33), (other, 0)):
+        found = spark.createDataFrame([(i, sets(i)) for i in range(50)], "id long, found binary")
+        got = near_dedup.between(reps, near_dedup.LIKELY, None, 1024, found, (75, 100)).collect()
+        assert len(got) == want and all(r["a"] < r["b"] for r in got)
+        links = near_dedup.between(reps, near_dedup.LIKELY, None, 8, found, (75, 100)).unionByName(reps.select(F.col("id").alias("a"), F.col("comp").alias("b")))
+        assert [r["v"] for r in components(links.toDF("u", "v")).collect()] == [0] * (49 if want else 16)
