@@ -205,3 +205,13 @@ def test_later_rounds_write_links_only(spark):
         assert len(got) == want and all(r["a"] < r["b"] for r in got)
         links = near_dedup.between(reps, near_dedup.LIKELY, None, 8, found, (75, 100)).unionByName(reps.select(F.col("id").alias("a"), F.col("comp").alias("b")))
         assert [r["v"] for r in components(links.toDF("u", "v")).collect()] == [0] * (49 if want else 16)
+
+
+def test_keys_asked_again_hold_what_may_fit(spark):
+    """Sets that no asking set can match, too long, too short or later ones, have no row."""
+    docs = frame(spark, [(i, " ".join(f"v{k}" for k in range(10 + i))) for i in range(40)], extra=False).withColumn("kind", F.lit(0).cast("long"))
+    classes, lines_log = line_dedup.word_classes(docs)
+    sets = line_dedup.lines_of(docs, classes).withColumn("asks", F.col("doc_id") == 20)
+    only = line_dedup._asked(line_dedup.keys_of(sets.where("asks").drop("asks"), lines_log, 85)).toPandas()
+    got = {r["doc_id"] for r in line_dedup.keys_of(sets, lines_log, 85, None, only).select("doc_id").collect()}
+    assert got == {j for j in range(21) if (10 + j) * 100 >= 85 * 30}
