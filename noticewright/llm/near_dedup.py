@@ -52,11 +52,12 @@ _A = _RNG.integers(0, 1 << 63, TREES * DEPTH + BITS, dtype=np.uint64) * np.uint6
 _B = _RNG.integers(0, 1 << 63, TREES * DEPTH + BITS, dtype=np.uint64)
 
 BASE = "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, sig binary, sketch binary"
-ROW = "tree int, key binary, id long, comp long, sketch binary"
 CELL = ["region", "row", "col"]
 #: Shingles that weigh as much as a document in the size of a cell, where sets are dealt out too; sets
 #: that are compared with another one in one go.
 WEIGHT, TOGETHER = 1024, 64
+#: Documents that are described, and that get their rows of all trees, in one go.
+DESCRIBED, GROWN = 500, 500
 
 
 def minhash(found: np.ndarray) -> np.ndarray:
@@ -68,7 +69,7 @@ def minhash(found: np.ndarray) -> np.ndarray:
 
 def _describe(size: int):
     def run(frames: Iterator[pd.DataFrame]):
-        for frame in frames:
+        for frame in (f.iloc[lo : lo + DESCRIBED] for f in frames for lo in range(0, len(f), DESCRIBED)):
             rows = []
             for doc_id, kind, text in zip(frame["doc_id"], frame["text_hash"], frame["text"], strict=True):
                 found = shingles(None if text is None or text is pd.NA else text, size)
@@ -91,16 +92,17 @@ def _describe(size: int):
 
 
 def _grow(batches):
-    """A row per document and tree."""
+    """A row per document and tree: tree, key, then the columns other than ``sig``, as they are. A few
+    documents at a time, as each makes ``TREES`` rows."""
     wide = 4 * DEPTH
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=f"S{wide}").reshape(n, TREES)
-        keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(wide), n * TREES, [None, pa.py_buffer(np.ascontiguousarray(sig.T).tobytes())]).cast(pa.binary())
-        again = pa.array(np.tile(np.arange(n), TREES))
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(TREES, dtype=np.int32), n)), keys, batch.column("id").take(again), batch.column("comp").take(again), batch.column("sketch").take(again)], names=["tree", "key", "id", "comp", "sketch"])
+    for whole in batches:
+        for lo in range(0, whole.num_rows, GROWN):
+            batch = whole.slice(lo, GROWN)
+            n = batch.num_rows
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=f"S{wide}").reshape(n, TREES)
+            keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(wide), n * TREES, [None, pa.py_buffer(np.ascontiguousarray(sig.T).tobytes())]).cast(pa.binary())
+            again, rest = pa.array(np.tile(np.arange(n), TREES)), [c for c in batch.schema.names if c != "sig"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(TREES, dtype=np.int32), n)), keys, *[batch.column(c).take(again) for c in rest]], names=["tree", "key", *rest])
 
 
 def _cut(lcp: np.ndarray, lo: int, hi: int, depth: int, region: int) -> Iterator[tuple[int, int]]:
@@ -295,8 +297,7 @@ def candidates(reps: DataFrame, region: int = REGION) -> DataFrame:
     """(a, b) with a < b of the first round. ``reps``: id, comp, sig, sketch. Ranges of the orders are
     dealt out by signature and id, so that no region, however dense, has to fit in one task."""
     return (
-        reps.select("id", "comp", "sig", "sketch").mapInArrow(_grow, ROW)
-        .select("tree", "key", "id", "sketch")
+        reps.select("id", "sketch", "sig").mapInArrow(_grow, "tree int, key binary, id long, sketch binary")
         .repartitionByRange("tree", "key", "id")
         .sortWithinPartitions("tree", "key", "id")
         .mapInArrow(_pairs(region), "a long, b long")
@@ -329,12 +330,9 @@ def between(reps: DataFrame, least: float, few: int | None, region: int = REGION
     region has no rows of its own in it, so that cells grow with the documents outside it.
     """
     key = F.xxhash64("tree", F.substring("key", 1, 4 * LEAST))
-    grown = reps.select("id", "comp", "sig", F.lit(b"").alias("sketch")).mapInArrow(_grow, ROW).select("tree", key.alias("region"), "id", "comp")
-    if sets is not None:
-        grown = grown.join(reps.select("id", F.greatest(F.lit(1.0), F.col("n_shingles") / WEIGHT).alias("weight")), "id")
-    else:
-        grown = grown.withColumn("weight", F.lit(1.0))
-    grown = grown.repartition("region")
+    weight = F.lit(1.0) if sets is None else F.greatest(F.lit(1.0), F.col("n_shingles") / WEIGHT)
+    grown = reps.select("id", "comp", weight.alias("weight"), "sig").mapInArrow(_grow, "tree int, key binary, id long, comp long, weight double")
+    grown = grown.select("tree", key.alias("region"), "id", "comp", "weight").repartition("region")
     whole, part = Window.partitionBy("region"), Window.partitionBy("region", "comp")
     mixed_ = grown.withColumns({"lo": F.min("comp").over(whole), "hi": F.max("comp").over(whole), "n": F.sum("weight").over(whole)}).where("lo < hi").drop("lo", "hi")
     sized = mixed_.withColumns({"size": F.count("*").over(part), "part": F.sum("weight").over(part)})

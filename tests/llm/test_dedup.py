@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,3 +217,23 @@ def test_keys_asked_again_hold_what_may_fit(spark):
     only = line_dedup._asked(line_dedup.keys_of(sets.where("asks").drop("asks"), lines_log, 85)).toPandas()
     got = {r["doc_id"] for r in line_dedup.keys_of(sets, lines_log, 85, None, only).select("doc_id").collect()}
     assert got == {j for j in range(21) if (10 + j) * 100 >= 85 * 30}
+
+
+def test_later_rounds_join_facts_only(spark):
+    """The weight of a document goes along with its rows of all trees; joined to them, it made a row a document and tree again."""
+    one = frame(spark, [(0, "a b c d e f g")]).select("doc_id", F.lit(0).alias("text_hash"), "text").mapInPandas(near_dedup._describe(1), near_dedup.BASE).first()
+    reps = spark.createDataFrame([(i, i, 40_000, one["sig"], one["sketch"]) for i in range(3)], "id long, comp long, n_shingles long, sig binary, sketch binary")
+    found = spark.createDataFrame([(i, b"") for i in range(3)], "id long, found binary")
+    plan = near_dedup.between(reps, near_dedup.LIKELY, None, 8, found, (75, 100))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 2  # reps with their sets, and these with the rows of cells
+
+
+def test_documents_grow_a_few_at_a_time():
+    """However many documents a batch holds, what is described and dealt to the trees at once stays small."""
+    n = 3 * near_dedup.GROWN + 1
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([bytes(4 * near_dedup.DEPTH * near_dedup.TREES)] * n), pa.array([2.0] * n)], names=["id", "sig", "weight"])
+    got = list(near_dedup._grow([batch]))
+    assert max(b.num_rows for b in got) == near_dedup.GROWN * near_dedup.TREES and sum(b.num_rows for b in got) == n * near_dedup.TREES
+    assert sorted(i for b in got for i in b.column("id").to_pylist()) == sorted([*range(n)] * near_dedup.TREES) and got[0].schema.names == ["tree", "key", "id", "weight"]
+    texts = pd.DataFrame({"doc_id": range(n), "text_hash": 0, "text": "a b"})
+    assert [len(f) for f in near_dedup._describe(5)(iter([texts]))] == [near_dedup.DESCRIBED] * (n // near_dedup.DESCRIBED) + [n % near_dedup.DESCRIBED]
