@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
@@ -237,3 +238,18 @@ def test_documents_grow_a_few_at_a_time():
     assert sorted(i for b in got for i in b.column("id").to_pylist()) == sorted([*range(n)] * near_dedup.TREES) and got[0].schema.names == ["tree", "key", "id", "weight"]
     texts = pd.DataFrame({"doc_id": range(n), "text_hash": 0, "text": "a b"})
     assert [len(f) for f in near_dedup._describe(5)(iter([texts]))] == [near_dedup.DESCRIBED] * (n // near_dedup.DESCRIBED) + [n % near_dedup.DESCRIBED]
+
+
+def test_packed_keys_are_the_keys(spark):
+    """Keys shuffled by buckets are those of a row each, with and without asking sets, and those of a bucket meet whole."""
+    docs = frame(spark, [(i, " ".join(f"v{k}" for k in range(i % 7, 10 + i))) for i in range(60)], extra=False).withColumn("kind", F.lit(0).cast("long"))
+    classes, lines_log = line_dedup.word_classes(docs)
+    sets = line_dedup.lines_of(docs, classes)
+    for s in (sets, sets.withColumn("asks", F.col("doc_id") % 3 == 0)):
+        plain = [tuple(r) for r in line_dedup.keys_of(s, lines_log, 85).collect()]
+        kind = line_dedup._record("asks" in s.columns)
+        batches = [b for b in line_dedup.keys_of(s, lines_log, 85, buckets=5).repartition(1).sortWithinPartitions("bucket").toArrow().to_batches(max_chunksize=2)]
+        got = np.concatenate(list(line_dedup._buckets(batches, kind)))
+        want = [(*r[:8], *([tuple(np.frombuffer(r[8] or bytes(8 * line_dedup.WIDE), dtype=np.uint64).tolist())] if len(r) > 8 else [])) for r in plain]
+        wide = ["wide"] if len(kind) > 8 else []
+        assert sorted((*(int(x[c]) for c in kind.names[:8]), *(tuple(x[c].tolist()) for c in wide)) for x in got) == sorted((*map(int, r[:8]), *r[8:]) for r in want)
