@@ -253,3 +253,23 @@ def test_packed_keys_are_the_keys(spark):
         want = [(*r[:8], *([tuple(np.frombuffer(r[8] or bytes(8 * line_dedup.WIDE), dtype=np.uint64).tolist())] if len(r) > 8 else [])) for r in plain]
         wide = ["wide"] if len(kind) > 8 else []
         assert sorted((*(int(x[c]) for c in kind.names[:8]), *(tuple(x[c].tolist()) for c in wide)) for x in got) == sorted((*map(int, r[:8]), *r[8:]) for r in want)
+
+
+def test_equal_lines_are_combined_in_tasks_and_over_them(spark):
+    rows = [(i, f"common line {i % 3}\nCOMMON  line {i % 3}\n\nline of {i}\n{' '.join(f'w{k}' for k in range(40))}") for i in range(1, 60)]
+    docs = frame(spark, rows + rows[:2]).repartition(6).select("doc_id", F.lit(0).alias("kind"), "text")
+    classes, lines_log = line_dedup.word_classes(docs)
+    got = line_dedup.sets_of(docs, classes, lines_log).collect()
+    words = {(i, n): frozenset(x.lower().split()) for i, t in rows for n, x in enumerate(t.split("\n")) if x}
+    first = {}
+    for at, w in sorted(words.items()):
+        first.setdefault(w, at)
+    alone = {(r["doc_id"], r["place"]): r for r in got if r["e_doc"] is None}
+    pairs = [((r["doc_id"], r["place"]), (r["e_doc"], r["e_place"])) for r in got if r["e_doc"] is not None]
+    assert set(alone) == set(first.values()) and {a for a, _ in pairs} == set(words) - set(alone)
+    assert all(e < a and words[e] == words[a] for a, e in pairs)
+    plain = {(r["doc_id"], r["place"]): r for r in line_dedup.lines_of(docs, classes).collect()}
+    assert all(r[c] == plain[at][c] for at, r in alone.items() for c in ("n", "b1", "b2", "wide", "prefix"))
+    one = line_dedup.lines_of(docs, classes).coalesce(1).toArrow().combine_chunks().to_batches()
+    assert len({b for b in line_dedup._dealt(one, 7).column("bucket").to_pylist()}) == line_dedup._dealt(one, 7).num_rows <= 7
+    assert sum(len(x) for x in line_dedup._dealt(one, 7).column("rows").to_pylist()) == len(first) * line_dedup._LINE.itemsize
