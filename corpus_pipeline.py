@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticewright.llm import line_dedup, mixing, near_dedup, packing, toxicity
-from noticewright.llm.common import WORD, columns, free_name, new_path, table, written
+from noticewright.llm.common import ARROW_BYTES, BATCH_BYTES, WORD, columns, free_name, new_path, table, written
+
+def small_batches(stage):
+    """The stage with Arrow batches of ``BATCH_BYTES``. Its result is computed when it is written, so
+    the setting stays in the session."""
+
+    @functools.wraps(stage)
+    def run(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(ARROW_BYTES, BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@small_batches
 def toxic_out(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity of 0.7 or more go. The classifier learns from the labelled
     documents of the corpus that aren't held out.
@@ -21,6 +35,7 @@ def toxic_out(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, out=out).where(F.col(out) < toxicity.THRESHOLD).select(*columns(docs))
 
 
+@small_batches
 def lines_out(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that match an earlier one go; so does a document that had words and has none left.
 
@@ -35,6 +50,7 @@ def lines_out(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("text", F.col(left)).withColumn("n_chars", F.length("text").cast("long")).select(*columns(docs))
 
 
+@small_batches
 def near_out(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest id.
 
@@ -54,6 +70,7 @@ def near_out(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.join(m, same(m), "left_anti").select(*columns(docs)).unionByName(once.select(*columns(docs)))
 
 
+@small_batches
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them: never, once or twice.
 
@@ -63,6 +80,7 @@ def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+@small_batches
 def packed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens.
 
