@@ -273,3 +273,57 @@ def test_equal_lines_are_combined_in_tasks_and_over_them(spark):
     one = line_dedup.lines_of(docs, classes).coalesce(1).toArrow().combine_chunks().to_batches()
     assert len({b for b in line_dedup._dealt(one, 7).column("bucket").to_pylist()}) == line_dedup._dealt(one, 7).num_rows <= 7
     assert sum(len(x) for x in line_dedup._dealt(one, 7).column("rows").to_pylist()) == len(first) * line_dedup._LINE.itemsize
+
+
+def test_keys_come_in_turns_of_bounded_size(spark):
+    """Keys that are more than the texts are dealt to turns, each key to one of them; all turns hold all keys."""
+    docs = frame(spark, [(i, " ".join(f"v{k}" for k in range(i % 7, 30 + i))) for i in range(60)], extra=False).withColumn("kind", F.lit(0).cast("long"))
+    classes, lines_log, length = line_dedup.word_counts(docs)
+    assert length == sum(len(r["text"]) for r in docs.collect())
+    sets = line_dedup.lines_of(docs, classes)
+    for log in (lines_log, 0.0):  # keys of one word, and of up to three
+        whole = sorted(map(tuple, line_dedup.keys_of(sets, log, 85).collect()))
+        parts = [[tuple(r) for r in line_dedup.keys_of(sets, log, 85, turn=(i, 3)).collect()] for i in range(3)]
+        assert sorted(r for p in parts for r in p) == whole and all(parts)
+        assert not any({r[0] for r in a} & {r[0] for r in b} for a in parts for b in parts if a is not b)
+    turns, buckets = line_dedup._dealing(23_000_000_000 // 49, 8_200_000_000, 500)
+    assert 23_000_000_000 / turns <= line_dedup.TURN_SHARE * 8_200_000_000 and 23_000_000_000 // 49 // turns // buckets <= line_dedup.IN_BUCKET + 100
+    assert line_dedup._dealing(0, 0, 4) == (1, 16) and line_dedup._dealing(10**12, 1, 4)[0] == line_dedup.CLASSES
+
+
+def test_lines_are_the_same_in_turns_and_by_bits(spark, monkeypatch):
+    """Beyond the bounds of a broadcast neither keys nor texts are shuffled at once; the result stays."""
+    words = [f"é{k}" if k % 5 else f"w{k}" for k in range(60)]
+    rng = random.Random(4)
+    rows = [(i, "\n".join(" ".join(w for w in words[j : j + 24] if rng.random() > 0.04) if rng.random() < 0.8 else "" for j in rng.choices(range(30), k=rng.randrange(1, 5)))) for i in range(80)]
+    docs = frame(spark, [*rows, (500, ""), (501, None), (502, "\n"), (503, "one\n\ntwo\n"), *rows[:3]])
+    result = lambda: sorted((r["doc_id"], r["text"] or "", r["_lines"], tuple(r["_removed"])) for r in line_dedup.line_dedup(docs).collect())
+    want = result()
+    assert sum(len(r[3]) for r in want) > 50
+    read, turns = [], []
+    lines_at, keys_of = line_dedup._lines_at, line_dedup.keys_of
+    monkeypatch.setattr(line_dedup, "_lines_at", lambda *a: read.append(1) or lines_at(*a))
+    monkeypatch.setattr(line_dedup, "keys_of", lambda *a, **k: turns.append(k.get("turn")) or keys_of(*a, **k))
+    for name, value in (("BROADCAST_ROWS", 3), ("SAMPLED", 1), ("TURN_SHARE", 0.5)):
+        monkeypatch.setattr(line_dedup, name, value)
+    assert result() == want and read and max(t[1] for t in turns if t) > 1
+
+
+def test_lines_at_bits_are_the_lines_of_texts(spark):
+    rows = [(i, "\n".join(["ä" * (i % 3), "", f"line {i}", "b"][: i % 5])) for i in range(40)] + [(50, "\n\n"), (51, "")]
+    docs = frame(spark, rows, extra=False).withColumn("kind", F.hash("text").cast("long")).repartition(3)
+    kinds = {r["doc_id"]: r["kind"] for r in docs.collect()}
+    every = {(i, (kinds[i] << 32) + n): x.encode() for i, t in rows for n, x in enumerate(t.split("\n"))}
+    asked = dict(sorted(every.items())[::3])
+    bits = line_dedup._bits(spark.createDataFrame(list(asked), "doc_id long, place long"), len(asked))
+    got = {(r["doc_id"], r["place"]): bytes(r["line"]) for r in line_dedup._lines_at(docs, bits).collect()}
+    assert asked.items() <= got.items() <= every.items() and len(got) <= len(asked) + 2
+    assert line_dedup._lines_at(docs, np.full(8192, 255, dtype=np.uint8)).count() == len(every)
+
+
+def test_numbers_of_lines_are_joined_without_texts(spark, sf, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    node = line_dedup.op5_line_dedup(spark, sf)._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().apply(0)
+    assert "text" not in node.children().apply(0).output().mkString(" ")
